@@ -1,0 +1,79 @@
+"""The plan has to hold on large tables; these are the properties that make it so."""
+
+from __future__ import annotations
+
+import datetime as dt
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from tarnwork.plans import pricing_summary
+from tarnwork.sources import load
+from tests.tables import sf_dir
+
+DAY = dt.date(2001, 8, 6)
+
+
+def plan_text(df) -> str:
+    jvm = df.sparkSession._jvm
+    return jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+
+
+@pytest.fixture(scope="module")
+def plan(spark):
+    return plan_text(pricing_summary(load(spark, sf_dir("0.01"), "lineitem"), DAY))
+
+
+def test_scan_reads_only_what_the_query_needs(plan):
+    (schema,) = re.findall(r"ReadSchema: struct<(.*)>", plan)
+    assert {field.split(":")[0] for field in schema.split(",")} == {
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
+        "l_returnflag",
+        "l_linestatus",
+        "l_shipdate",
+    }
+
+
+def test_date_reaches_the_scan(plan):
+    assert "LessThan(l_shipdate,2001-08-07T00:00)" in plan
+    assert not re.search(r"cast\(l_shipdate", plan)
+
+
+def test_one_hash_shuffle_after_partial_sums(plan):
+    assert plan.count("hashpartitioning") == 1
+    assert len(re.findall(r"^\(\d+\) HashAggregate", plan, re.M)) == 2
+    assert "partial_sum" in plan
+    assert "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_no_decimal_before_the_shuffle(plan):
+    partial = next(p for p in plan.split("\n\n") if "partial_sum" in p)
+    assert "decimal" not in partial
+
+
+def test_stays_in_the_jvm(plan):
+    assert not re.search(r"Python|Pandas|Arrow", plan)
+
+
+def test_totals_and_averages_share_their_sums(plan):
+    partial = next(p for p in plan.split("\n\n") if "partial_sum" in p)
+    functions = re.search(r"Functions \[(\d+)\]", partial).group(1)
+    # 2 narrow sums, 3 wide sums of two words, 3 non-null counts, 1 row count
+    assert int(functions) == 2 + 3 * 2 + 3 + 1
+
+
+def test_hot_group_is_added_up_before_the_shuffle(spark):
+    """Nine tenths of the rows in one group still shuffle one row per task and group."""
+    hot = F.when(F.rand(7) < 0.9, F.lit("N")).otherwise(F.col("l_returnflag"))
+    df = load(spark, sf_dir("0.1"), "lineitem").repartition(8).withColumn("l_returnflag", hot)
+    result = pricing_summary(df, DAY)
+    result.collect()
+    # Large counts are written as 6.00E+5.
+    counts = {float(n) for n in re.findall(r"rowCount=([\d.E+]+)", plan_text(result))}
+    groups, tasks, rows = 6, 8, 600_000
+    # The rows spread by this test, the partial sums, and the sorted result.
+    assert counts == {rows, tasks * groups, groups}

@@ -1,0 +1,124 @@
+from __future__ import annotations
+
+import datetime as dt
+from collections import defaultdict
+from decimal import Decimal
+
+import pyarrow.parquet as pq
+import pytest
+from pyspark.errors import ArithmeticException
+from pyspark.sql import functions as F
+
+from tarnwork.plans import pricing_summary
+from tarnwork.sources import load
+from tests.tables import line, lineitem, sf_dir
+
+DAY = dt.date(2001, 8, 6)
+
+
+def summary(df, day=DAY):
+    return [row.asDict() for row in pricing_summary(df, day).collect()]
+
+
+def test_against_brute_force(spark):
+    groups = defaultdict(list)
+    for row in pq.read_table(f"{sf_dir('0.001')}/lineitem.parquet").to_pylist():
+        if row["l_shipdate"].date() <= DAY:
+            amounts = (row[c] for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+            groups[row["l_returnflag"], row["l_linestatus"]].append([Decimal(str(a)) for a in amounts])
+    expected = []
+    for (flag, status), rows in sorted(groups.items()):
+        quantity, price, discount = (sum(r[i] for r in rows) for i in range(3))
+        expected.append(
+            {
+                "l_returnflag": flag,
+                "l_linestatus": status,
+                "sum_qty": quantity,
+                "sum_base_price": price,
+                "sum_disc_price": sum(p * (1 - d) for _, p, d, _ in rows),
+                "sum_charge": sum(p * (1 - d) * (1 + t) for _, p, d, t in rows),
+                "avg_qty": float(quantity) / len(rows),
+                "avg_price": float(price) / len(rows),
+                "avg_disc": float(discount) / len(rows),
+                "count_order": len(rows),
+            }
+        )
+    assert len(expected) == 6
+    assert summary(load(spark, sf_dir("0.001"), "lineitem")) == expected
+
+
+def test_last_day_counts_whole(spark):
+    rows = [
+        line(1.0, shipped=dt.datetime(2001, 8, 6)),
+        line(2.0, shipped=dt.datetime(2001, 8, 6, 23, 59, 59, 999999)),
+        line(4.0, shipped=dt.datetime(2001, 8, 7)),
+    ]
+    (only,) = summary(lineitem(spark, rows))
+    assert only["sum_qty"] == 3 and only["count_order"] == 2
+
+
+def test_unknown_ship_date_is_left_out(spark):
+    (only,) = summary(lineitem(spark, [line(), line(shipped=None)]))
+    assert only["count_order"] == 1
+
+
+def test_nulls_as_in_sql(spark):
+    rows = [line(10.0, 100.0, None, 0.0), line(None, 50.0, 0.5, 0.0)]
+    (only,) = summary(lineitem(spark, rows))
+    assert only == {
+        "l_returnflag": "A",
+        "l_linestatus": "F",
+        "sum_qty": Decimal("10.00"),
+        "sum_base_price": Decimal("150.00"),
+        "sum_disc_price": Decimal("25.0000"),
+        "sum_charge": Decimal("25.000000"),
+        "avg_qty": 10.0,
+        "avg_price": 75.0,
+        "avg_disc": 0.5,
+        "count_order": 2,
+    }
+
+
+def test_group_of_nulls_only(spark):
+    (only,) = summary(lineitem(spark, [line(None, None, None, None)]))
+    assert only["sum_charge"] is None and only["avg_qty"] is None and only["count_order"] == 1
+
+
+def test_null_is_a_group_of_its_own(spark):
+    rows = summary(lineitem(spark, [line(), line(flag=None), line(flag=None)]))
+    assert [(r["l_returnflag"], r["count_order"]) for r in rows] == [(None, 2), ("A", 1)]
+
+
+def test_no_rows(spark):
+    assert summary(lineitem(spark, [])) == []
+    assert summary(lineitem(spark, [line()]), dt.date(1990, 1, 1)) == []
+
+
+def test_refunds(spark):
+    (only,) = summary(lineitem(spark, [line(1.0, -100.01, 0.1, 0.05), line(1.0, 100.00, 0.1, 0.05)]))
+    assert only["sum_base_price"] == Decimal("-0.01")
+    assert only["sum_disc_price"] == Decimal("-0.0090")
+    assert only["sum_charge"] == Decimal("-0.009450")
+
+
+def test_more_in_one_group_than_a_bigint_holds(spark):
+    rows = 2_000_000
+    one = lineitem(spark, [line(50.0, 10_000_000_000.01, 0.0, 0.08)])
+    df = spark.range(rows, numPartitions=8).drop("id").crossJoin(F.broadcast(one))
+    (only,) = summary(df)
+    assert only["sum_charge"] == rows * Decimal("10000000000.01") * Decimal("1.08")
+    assert only["sum_charge"].scaleb(6) > 2**63
+
+
+def test_bad_amount_fails_the_query(spark):
+    with pytest.raises(ArithmeticException):
+        summary(lineitem(spark, [line(price=float("inf"))]))
+
+
+def test_order_and_partitioning_do_not_matter(spark):
+    df = load(spark, sf_dir("0.01"), "lineitem")
+    expected = summary(df)
+    assert summary(df.repartition(13)) == expected
+    assert summary(df.coalesce(1).sortWithinPartitions(F.desc("l_extendedprice"))) == expected
+    # All rows of a group in one partition: the worst case for partial aggregation.
+    assert summary(df.repartition(3, "l_returnflag")) == expected
