@@ -8,6 +8,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LOW_BITS = 20
+# 28 digits of total times 10**-scale has to fit a decimal of 38 digits unrounded.
+MAX_SCALE = 9
 
 
 def exact_sum(units: Column, scale: int, wide: bool = True) -> Column:
@@ -25,6 +27,8 @@ def exact_sum(units: Column, scale: int, wide: bool = True) -> Column:
     again on another executor changes nothing. Like ``sum``, it skips nulls and
     is null for a group without values.
     """
+    if not 0 <= scale <= MAX_SCALE:
+        raise ValueError(f"scale must be between 0 and {MAX_SCALE}, not {scale}")
     if wide:
         high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
         low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")

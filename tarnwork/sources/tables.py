@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 TABLES = (
     "region",
@@ -27,7 +28,19 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
 
     The schema comes from a parquet footer, so a missing column fails when the
     plan is analysed. A declared schema would read it as nulls instead.
+
+    Times are always ``timestamp_ntz``, the stored UTC clock. As ``timestamp`` they
+    would compare with a day in the time zone of whoever runs the query.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    path = f"{base.rstrip('/')}/{name}.parquet"
+    df = spark.read.parquet(path)
+    schema = T.StructType([_zoneless(field) for field in df.schema])
+    return df if schema == df.schema else spark.read.schema(schema).parquet(path)
+
+
+def _zoneless(field: T.StructField) -> T.StructField:
+    if isinstance(field.dataType, T.TimestampType):
+        return T.StructField(field.name, T.TimestampNTZType(), field.nullable)
+    return field

@@ -56,6 +56,18 @@ def test_scale_and_type(spark):
     assert str(df.first()["t"]) == "0.0003"
 
 
+@pytest.mark.parametrize("wide", [True, False])
+def test_largest_scale_keeps_every_digit(spark, wide):
+    values = [2**62, -1]
+    assert total(spark, values, 9, wide=wide) == Decimal(sum(values)).scaleb(-9)
+
+
+@pytest.mark.parametrize("scale", [-1, 10])
+def test_scale_that_would_round_is_refused(scale):
+    with pytest.raises(ValueError, match="scale must be between 0 and 9"):
+        exact_sum(F.col("v"), scale)
+
+
 @pytest.mark.parametrize("wide", [True, False])
 def test_null_without_values(spark, wide):
     assert total(spark, [None, None], wide=wide) is None

@@ -57,6 +57,13 @@ def test_last_day_counts_whole(spark):
     assert only["sum_qty"] == 3 and only["count_order"] == 2
 
 
+@pytest.mark.parametrize("kind", ["date", "timestamp"])
+def test_ship_date_of_another_type(spark, kind):
+    df = load(spark, sf_dir("0.001"), "lineitem")
+    other = df.withColumn("l_shipdate", F.col("l_shipdate").cast(kind))
+    assert summary(other) == summary(df)
+
+
 def test_unknown_ship_date_is_left_out(spark):
     (only,) = summary(lineitem(spark, [line(), line(shipped=None)]))
     assert only["count_order"] == 1

@@ -1,8 +1,13 @@
 from __future__ import annotations
 
+import datetime as dt
 import os
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
 
 from tarnwork.sources import TABLES, load
 from tests.tables import SCALES, sf_dir
@@ -20,9 +25,42 @@ def test_every_table_loads(spark, name):
     assert df.columns and not df.isEmpty()
 
 
-def test_dates_have_no_time_zone(spark):
-    types = dict(load(spark, sf_dir("0.001"), "lineitem").dtypes)
-    assert types["l_shipdate"] == "timestamp_ntz"
+@pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
+@pytest.mark.parametrize("infer", ["true", "false"])
+@pytest.mark.parametrize("stored", ["timestamp", "timestamp_ntz"])
+def test_times_are_the_stored_utc_clock(spark, tmp_path, zone, infer, stored):
+    settings = {
+        "spark.sql.session.timeZone": zone,
+        "spark.sql.parquet.inferTimestampNTZ.enabled": infer,
+    }
+    given = load(spark, sf_dir("0.001"), "events")
+    expected = sorted(given.select("event_id", "ts").collect())
+    # pyarrow writes no Spark schema into the file, so Spark has to infer the type.
+    table = pq.read_table(f"{sf_dir('0.001')}/events.parquet")
+    if stored == "timestamp":
+        at = table.schema.get_field_index("ts")
+        table = table.set_column(at, "ts", table["ts"].cast(pa.timestamp("us", tz="UTC")))
+    pq.write_table(table, f"{tmp_path}/events.parquet")
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        df = load(spark, str(tmp_path), "events")
+        assert dict(df.dtypes)["ts"] == "timestamp_ntz"
+        assert sorted(df.select("event_id", "ts").collect()) == expected
+        day = dt.date(2024, 1, 15)
+        before_day = sum(row["ts"].date() < day for row in expected)
+        assert 0 < before_day < len(expected)
+        assert df.where(F.col("ts") < F.lit(day)).count() == before_day
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+
+
+def test_missing_column_fails_when_analysed(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/lineitem.parquet")
+    with pytest.raises(AnalysisException):
+        load(spark, str(tmp_path), "lineitem").select("l_shipdate")
 
 
 def test_a_table_may_be_a_directory(spark, tmp_path):
