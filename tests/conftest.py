@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import contextlib
 import os
 import sys
 
@@ -24,3 +25,22 @@ def spark():
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def set_for(spark):
+    """A context in which the session has other settings."""
+
+    @contextlib.contextmanager
+    def context(**settings):
+        settings = {key.replace("__", "."): value for key, value in settings.items()}
+        before = {key: spark.conf.get(key) for key in settings}
+        try:
+            for key, value in settings.items():
+                spark.conf.set(key, value)
+            yield
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+
+    return context

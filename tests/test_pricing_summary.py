@@ -86,8 +86,10 @@ def test_nulls_as_in_sql(spark):
     }
 
 
-def test_group_of_nulls_only(spark):
-    (only,) = summary(lineitem(spark, [line(None, None, None, None)]))
+@pytest.mark.parametrize("generated, mode", [("true", "FALLBACK"), ("false", "NO_CODEGEN")])
+def test_group_of_nulls_only(spark, set_for, generated, mode):
+    with set_for(spark__sql__codegen__wholeStage=generated, spark__sql__codegen__factoryMode=mode):
+        (only,) = summary(lineitem(spark, [line(None, None, None, None)]))
     assert only["sum_charge"] is None and only["avg_qty"] is None and only["count_order"] == 1
 
 

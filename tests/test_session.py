@@ -39,14 +39,8 @@ def test_checkpoint_folder_is_left_to_the_cluster(spark):
     ids=lambda settings: ",".join(key.removeprefix("spark.sql.") for key in settings),
 )
 @pytest.mark.parametrize("name", sorted(ENTRY.queries()))
-def test_queries_do_not_depend_on_the_callers_session(spark, name, settings):
+def test_queries_do_not_depend_on_the_callers_session(spark, set_for, name, settings):
     query = ENTRY.queries()[name]
     expected = query(spark, sf_dir("0.01")).collect()
-    before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
+    with set_for(**settings):
         assert query(spark, sf_dir("0.01")).collect() == expected
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)

@@ -28,33 +28,23 @@ def test_every_table_loads(spark, name):
 @pytest.mark.parametrize("zone", ["UTC", "America/Los_Angeles", "Asia/Tokyo"])
 @pytest.mark.parametrize("infer", ["true", "false"])
 @pytest.mark.parametrize("stored", ["timestamp", "timestamp_ntz"])
-def test_times_are_the_stored_utc_clock(spark, tmp_path, zone, infer, stored):
-    settings = {
-        "spark.sql.session.timeZone": zone,
-        "spark.sql.parquet.inferTimestampNTZ.enabled": infer,
-    }
-    given = load(spark, sf_dir("0.001"), "events")
-    expected = sorted(given.select("event_id", "ts").collect())
+def test_times_are_the_stored_utc_clock(spark, set_for, tmp_path, zone, infer, stored):
     # pyarrow writes no Spark schema into the file, so Spark has to infer the type.
     table = pq.read_table(f"{sf_dir('0.001')}/events.parquet")
+    expected = sorted(zip(table["event_id"].to_pylist(), table["ts"].to_pylist()))
     if stored == "timestamp":
         at = table.schema.get_field_index("ts")
         table = table.set_column(at, "ts", table["ts"].cast(pa.timestamp("us", tz="UTC")))
     pq.write_table(table, f"{tmp_path}/events.parquet")
-    before = {key: spark.conf.get(key) for key in settings}
-    try:
-        for key, value in settings.items():
-            spark.conf.set(key, value)
+    day = dt.date(2024, 1, 15)
+    before_day = sum(ts.date() < day for _, ts in expected)
+    assert 0 < before_day < len(expected)
+    settings = {"spark.sql.session.timeZone": zone, "spark.sql.parquet.inferTimestampNTZ.enabled": infer}
+    with set_for(**settings):
         df = load(spark, str(tmp_path), "events")
         assert dict(df.dtypes)["ts"] == "timestamp_ntz"
-        assert sorted(df.select("event_id", "ts").collect()) == expected
-        day = dt.date(2024, 1, 15)
-        before_day = sum(row["ts"].date() < day for row in expected)
-        assert 0 < before_day < len(expected)
+        assert sorted(tuple(row) for row in df.select("event_id", "ts").collect()) == expected
         assert df.where(F.col("ts") < F.lit(day)).count() == before_day
-    finally:
-        for key, value in before.items():
-            spark.conf.set(key, value)
 
 
 def test_missing_column_fails_when_analysed(spark, tmp_path):
