@@ -16,7 +16,7 @@ from tarnwork.session import get_session  # noqa: E402
 def spark():
     session = get_session(
         "tests",
-        spark__master="local[8]",
+        spark__master="local[8, 4]",  # a failed task runs again, as on a cluster
         spark__driver__memory="4g",
         spark__sql__shuffle__partitions="8",
         spark__ui__enabled="false",

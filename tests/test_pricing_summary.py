@@ -1,11 +1,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import os
 from collections import defaultdict
 from decimal import Decimal
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark import TaskContext
 from pyspark.errors import ArithmeticException
 from pyspark.sql import functions as F
 
@@ -131,3 +133,19 @@ def test_order_and_partitioning_do_not_matter(spark):
     assert summary(df.coalesce(1).sortWithinPartitions(F.desc("l_extendedprice"))) == expected
     # All rows of a group in one partition: the worst case for partial aggregation.
     assert summary(df.repartition(3, "l_returnflag")) == expected
+
+
+def test_tasks_that_fail_and_run_again_change_nothing(spark, tmp_path):
+    df = load(spark, sf_dir("0.01"), "lineitem").repartition(8)
+    failed = str(tmp_path)
+
+    def fail_once_after_the_rows(batches):
+        yield from batches
+        task = TaskContext.get()
+        if task.attemptNumber() == 0 and task.partitionId() % 3 == 0:
+            open(f"{failed}/{task.partitionId()}", "w").close()
+            raise RuntimeError("lost on purpose")
+
+    with_failures = df.mapInArrow(fail_once_after_the_rows, df.schema)
+    assert summary(with_failures) == summary(df)
+    assert sorted(os.listdir(failed)) == ["0", "3", "6"]
