@@ -43,6 +43,51 @@ def test_date_reaches_the_scan(plan):
     assert not re.search(r"cast\(l_shipdate", plan)
 
 
+def scanned(df) -> dict[str, int]:
+    """Rows and files the finished scan has read."""
+    nodes = [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            nodes.append(node.executedPlan())
+        elif node.nodeName() in ("ShuffleQueryStage", "ResultQueryStage"):
+            nodes.append(node.plan())
+        elif node.nodeName().startswith("Scan parquet"):
+            return {name: node.metrics().apply(name).value() for name in ("numOutputRows", "numFiles")}
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    raise AssertionError("no scan in the plan")
+
+
+EARLY = dt.date(1995, 6, 1)  # keeps 6 % of the rows
+
+
+def test_ship_date_stored_as_date_skips_row_groups(spark, tmp_path):
+    """Spark lists the filter for timestamp_ntz too, but skips nothing by it."""
+    given = load(spark, sf_dir("0.1"), "lineitem")
+    (
+        given.withColumn("l_shipdate", F.col("l_shipdate").cast("date"))
+        .repartitionByRange(4, "l_shipdate")
+        .sortWithinPartitions("l_shipdate")
+        .write.option("parquet.block.size", 256 * 1024)
+        .parquet(f"{tmp_path}/lineitem.parquet")
+    )
+    early = pricing_summary(load(spark, str(tmp_path), "lineitem"), EARLY)
+    assert early.collect() == pricing_summary(given, EARLY).collect()
+    assert scanned(early)["numOutputRows"] < 600_000 / 10
+
+
+def test_month_directories_are_pruned(spark, tmp_path):
+    given = load(spark, sf_dir("0.1"), "lineitem")
+    month = F.date_trunc("month", F.col("l_shipdate")).cast("date")
+    given.withColumn("ship_month", month).repartition("ship_month").write.partitionBy("ship_month").parquet(
+        f"{tmp_path}/lineitem.parquet"
+    )
+    by_month = load(spark, str(tmp_path), "lineitem")
+    early = pricing_summary(by_month.where(F.col("ship_month") <= EARLY), EARLY)
+    assert early.collect() == pricing_summary(given, EARLY).collect()
+    assert scanned(early)["numFiles"] == 6
+
+
 def test_one_hash_shuffle_after_partial_sums(plan):
     assert plan.count("hashpartitioning") == 1
     assert len(re.findall(r"^\(\d+\) HashAggregate", plan, re.M)) == 2
