@@ -12,9 +12,21 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+# A double holds every whole number up to here.
+MAX_WHOLE = 2**53
+
+
 def hundredths(amount: Column) -> Column:
-    """An amount or rate in hundredths (scale 2)."""
-    return F.rint(amount * 100).cast("bigint")
+    """An amount or rate in hundredths (scale 2).
+
+    An amount with more decimals, NaN or infinity fails the query: rounding row by
+    row would falsify the total. Division rounds correctly, so a stored amount of
+    two decimals is the very double that its hundredths divided by 100 give.
+    """
+    whole = F.rint(amount * 100)
+    exact = (whole / 100 == amount) & (F.abs(whole) <= MAX_WHOLE)
+    error = F.raise_error(F.concat(F.lit("not a whole number of hundredths: "), amount.cast("string")))
+    return F.when(~exact, error).otherwise(whole).cast("bigint")
 
 
 def discounted(price: Column, discount: Column) -> Column:

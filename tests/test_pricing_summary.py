@@ -8,7 +8,7 @@ from decimal import Decimal
 import pyarrow.parquet as pq
 import pytest
 from pyspark import TaskContext
-from pyspark.errors import ArithmeticException
+from pyspark.errors import SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tarnwork.plans import pricing_summary
@@ -122,9 +122,17 @@ def test_more_in_one_group_than_a_bigint_holds(spark):
     assert only["sum_charge"].scaleb(6) > 2**63
 
 
-def test_bad_amount_fails_the_query(spark):
-    with pytest.raises(ArithmeticException):
-        summary(lineitem(spark, [line(price=float("inf"))]))
+@pytest.mark.parametrize("column", ["quantity", "price", "discount", "tax"])
+@pytest.mark.parametrize("amount", [float("inf"), 0.005])
+def test_bad_amount_fails_the_query(spark, column, amount):
+    with pytest.raises(SparkRuntimeException, match="not a whole number of hundredths"):
+        summary(lineitem(spark, [line(**{column: amount})]))
+
+
+def test_bad_amount_of_a_line_left_out_does_no_harm(spark):
+    late = line(price=0.005, shipped=dt.datetime(2001, 8, 7))
+    (only,) = summary(lineitem(spark, [line(), late]))
+    assert only["count_order"] == 1
 
 
 def test_order_and_partitioning_do_not_matter(spark):
