@@ -18,7 +18,7 @@ def pricing_summary(lineitem: DataFrame, shipped_by: dt.date) -> DataFrame:
     that holds a third of the table is added up inside the scan tasks.
     """
     quantity, price, discount, tax = (
-        hundredths(F.col(name)) for name in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+        hundredths(name) for name in ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
     )
     sum_qty = exact_sum(quantity, 2, wide=False)
     sum_price = exact_sum(price, 2)

@@ -16,13 +16,13 @@ AMOUNTS = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 def test_every_cent_and_rate_survives_the_double(spark):
     # 0.07 * 100 is 7.000000000000001 and 0.29 * 100 is 28.999999999999996.
     cents = spark.range(-200_000, 200_000).select("id", (F.col("id") / 100).alias("amount"))
-    assert cents.where(hundredths(F.col("amount")) != F.col("id")).count() == 0
+    assert cents.where(hundredths("amount") != F.col("id")).count() == 0
 
 
 def test_large_amounts(spark):
     amounts = ["90071992547.41", "999999999.99", "-123456789.01"]
     df = spark.createDataFrame([(float(a),) for a in amounts], "a double")
-    got = [r[0] for r in df.select(hundredths(F.col("a"))).collect()]
+    got = [r[0] for r in df.select(hundredths("a")).collect()]
     assert got == [int(Decimal(a).scaleb(2)) for a in amounts]
 
 
@@ -32,17 +32,17 @@ def test_what_is_not_whole_hundredths_fails(spark, set_for, amount, ansi):
     df = spark.createDataFrame([(1.0,), (amount,)], "a double")
     with set_for(spark__sql__ansi__enabled=ansi):
         with pytest.raises(SparkRuntimeException, match="not a whole number of hundredths"):
-            df.agg(F.sum(hundredths(F.col("a")))).collect()
+            df.agg(F.sum(hundredths("a"))).collect()
 
 
 def test_null_stays_null(spark):
     df = spark.createDataFrame([(None,)], "a double")
-    assert df.select(hundredths(F.col("a"))).first()[0] is None
+    assert df.select(hundredths("a")).first()[0] is None
 
 
 def test_prices(spark):
     df = spark.createDataFrame([(104_999.91, 0.07, 0.08)], "p double, d double, t double")
-    price, discount, tax = (hundredths(F.col(c)) for c in "pdt")
+    price, discount, tax = (hundredths(c) for c in "pdt")
     row = df.select(discounted(price, discount).alias("d"), charged(price, discount, tax).alias("c")).first()
     net = Decimal("104999.91") * (1 - Decimal("0.07"))
     assert Decimal(row["d"]).scaleb(-4) == net
