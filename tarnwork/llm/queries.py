@@ -7,7 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import quality_rules
+from tarnwork.llm import byte_bpe, packing, quality_rules, token_store
+
+#: Tokens that a packed sequence holds.
+CAPACITY = 4096
+
+
+def vocabulary(name: str) -> str:
+    """Where the vocabulary files of the public tokenizers are on this machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def pre_token_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +46,30 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return packing.packed_digest(docs, vocabulary("word_bpe_49k.json"), 1, CAPACITY)
+
+
+def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    path = vocabulary("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digest(docs, path, pre_token_pattern())
+
+
+def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = token_store.round_trip(docs, vocabulary("byte_bpe_50k.json"), 0)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (spark, sf_dir)."""
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op6_best_fit_packing": op6_best_fit_packing,
+        "op7_byte_bpe": op7_byte_bpe,
+        "op10_token_ids": op10_token_ids,
     }
 
 
