@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import byte_bpe, packing, quality_rules, token_store
+from tarnwork.llm import byte_bpe, packing, quality_rules, secret_scan, token_store
 
 #: Tokens that a packed sequence holds.
 CAPACITY = 4096
@@ -46,6 +46,21 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        of_kind = F.filter("base", lambda s: s["kind"] == secret_scan.KINDS.index(kind))
+        return F.size(of_kind).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id",
+        *map(count, ("assign", "access", "hex")),
+        F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("spans")).alias("spans"),
+    )
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return packing.packed_digest(docs, vocabulary("word_bpe_49k.json"), 1, CAPACITY)
@@ -67,6 +82,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (spark, sf_dir)."""
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_byte_bpe": op7_byte_bpe,
         "op10_token_ids": op10_token_ids,
