@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import byte_bpe, packing, quality_rules, secret_scan, token_store
+from tarnwork.llm import byte_bpe, near_dedup, packing, quality_rules, secret_scan, token_store
 
 #: Tokens that a packed sequence holds.
 CAPACITY = 4096
@@ -72,6 +72,10 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(docs, path, pre_token_pattern())
 
 
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = token_store.round_trip(docs, vocabulary("byte_bpe_50k.json"), 0)
@@ -85,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_byte_bpe": op7_byte_bpe,
+        "op8_near_dedup": op8_near_dedup,
         "op10_token_ids": op10_token_ids,
     }
 
