@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tarnwork.llm import quality_rules
+from tarnwork.llm import near_dedup, packing, quality_rules, secret_scan
 from tarnwork.llm.common import written
+from tarnwork.llm.queries import CAPACITY, vocabulary
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +20,26 @@ def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs, quality_rules.learn(docs, labels))
 
 
+def _near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates, the document with the smallest id stays."""
+    return near_dedup.keep_first(docs)
+
+
+def _secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets in texts are masked; every document stays."""
+    return secret_scan.redact(docs)
+
+
+def _packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece and its place in a sequence."""
+    return packing.packed_digest(docs, vocabulary("word_bpe_49k.json"), 1, CAPACITY)
+
+
 STAGES = [
     ("quality rules", _quality),
+    ("near-dedup", _near_dedup),
+    ("secret scan", _secrets),
+    ("best-fit packing", _packing),
 ]
 
 #: The rules of the first stage are learned, which SQL cannot express.

@@ -14,9 +14,12 @@ list. A passage in a third of all documents is in nobody's rarest values unless
 much of the document. Lists are split by set size: sizes in the limit's ratio meet in one
 of two neighbouring steps.
 
-No list is paired out. Twice, each class is compared with the smallest class of its lists
-that it shares most of them with; what is similar joins a component. After that, only
-members of one list in different components are left to compare, and all of those are.
+No list is paired out. In a few rounds, each class is compared with one class of another
+component, one that stands for the most of its lists; what is similar joins a
+component. Lists of one component are done with. For the members of the others, whole sets
+are turned round instead of sketches: of these, the rarest quarter must be shared, which
+leaves aside what a passage of up to three quarters of a document brings together. Members
+of one such list in different components are all compared.
 
 Defined results. Null, empty or blank texts have no shingles and are linked with nothing.
 Repeated rows are a class. Rows with a null ``doc_id`` are linked with nothing and kept; their
@@ -32,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tarnwork.llm.chunks import _bytes_of, slices
@@ -144,30 +147,50 @@ def whole_sets(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, shingles array<long>")
 
 
-def shared_lists(classes: DataFrame) -> DataFrame:
-    """``rep``, ``n``, ``value`` and ``step``: the lists that must be read for each class."""
-    values = classes.select("rep", "n", F.size("sketch").alias("k"), F.explode("sketch").alias("value"))
+def shared_lists(classes: DataFrame, whole: bool = False) -> DataFrame:
+    """``rep``, ``n``, ``s``, ``value`` and ``step``: the lists to read for each class.
+
+    ``classes`` has ``rep``, ``n`` and ``values``: sketches, or whole sets if ``whole``.
+    ``s`` bounds what a class can have in common with another: for whole sets, its
+    values that are not its alone.
+    """
+    values = classes.select("rep", "n", F.size("values").alias("k"), F.explode("values").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
     own = (
         values.join(counts, "value")
         .groupBy("rep", "n", "k")
-        .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("shared"))  # up to K
+        .agg(F.sort_array(F.collect_list(F.struct("c", "value"))).alias("shared"))  # its own values
     )
     least = F.ceil(F.col("n") * LIMIT / 100)
-    needed = F.col("k") - F.when(least > SHARED, SHARED).otherwise(least) + 1
+    common = least if whole else F.least(least, F.lit(SHARED))
     alone = F.col("k") - F.size("shared")
-    taken = F.slice("shared", F.lit(1), F.greatest(needed - alone, F.lit(0)).cast("int"))
+    taken = F.greatest(F.col("k") - common + 1 - alone, F.lit(0)).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / LIMIT) + 1e-9).cast("int")
-    return (
-        own.select("rep", "n", F.explode(taken).alias("at"), step.alias("s"))
-        .select("rep", "n", "at.value", F.explode(F.array("s", F.col("s") + 1)).alias("step"))
-    )
+    bound = F.size("shared").cast("long") if whole else F.col("n")
+    return own.select(
+        "rep",
+        "n",
+        bound.alias("s"),
+        F.explode(F.slice("shared", F.lit(1), taken)).alias("at"),
+        step.alias("low"),
+    ).select("rep", "n", "s", "at.value", F.explode(F.array("low", F.col("low") + 1)).alias("step"))
 
 
-def _sizes_fit(n: str, m: str):
+def _sizes_fit(n: str, m: str) -> Column:
     return 100 * F.least(n, m) >= LIMIT * F.greatest(n, m)
 
 
+def _enough(common: Column, n: str, m: str) -> Column:
+    """Whether sets of these sizes with so much in common reach the limit."""
+    return (100 + LIMIT) * common >= LIMIT * (F.col(n) + F.col(m))
+
+
+def _able(lists: DataFrame) -> DataFrame:
+    """Members of lists that could reach the limit with a list's smallest member."""
+    least = lists.groupBy("value", "step").agg(F.min("n").alias("least"))
+    return lists.join(least, ["value", "step"]).where(_enough(F.col("s"), "n", "least")).drop("least")
+
+
 def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
     """Of ``pairs`` (a, b), those whose sets are as similar as the limit asks."""
     at = [
@@ -197,11 +220,12 @@ def verified(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFram
 
 
 def _with_component(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    lists = lists.select("rep", "n", "s", "value", "step")
     if labels is None:
         return lists.withColumn("component", F.col("rep"))
     named = labels.select(F.col("node").alias("rep"), F.col("component").alias("_c"))
     return lists.join(named, "rep", "left").select(
-        "rep", "n", "value", "step", F.coalesce("_c", "rep").alias("component")
+        "rep", "n", "s", "value", "step", F.coalesce("_c", "rep").alias("component")
     )
 
 
@@ -216,10 +240,14 @@ def _open_lists(lists: DataFrame) -> DataFrame:
     return lists.join(mixed, ["value", "step"])
 
 
-def _star_pairs(lists: DataFrame) -> DataFrame:
-    """Each class with one of another component: the smallest of the most of its lists."""
+def _star_pairs(lists: DataFrame, number: int) -> DataFrame:
+    """Each class with one of another component: the one that stands for most of its lists.
+
+    A list's first one is its smallest; in later rounds it is another one each time.
+    """
+    order = F.xxhash64("rep", F.lit(number)) if number else F.col("rep")
     hubs = lists.groupBy("value", "step").agg(
-        F.min(F.struct("component", "rep", "n")).alias("hub")
+        F.min(F.struct(order.alias("o"), "rep", "component", "n")).alias("hub")
     )
     return (
         lists.join(hubs, ["value", "step"])
@@ -239,14 +267,21 @@ def _all_pairs_between(lists: DataFrame) -> DataFrame:
     groups = lists.select("value", "step", "component").distinct()
     other = groups.withColumnRenamed("component", "other")
     between = groups.join(other, ["value", "step"]).where("component < other")
-    a = lists.select("value", "step", "component", F.col("rep").alias("a"), F.col("n").alias("na"))
-    b = lists.select(
-        "value", "step", F.col("component").alias("other"), F.col("rep").alias("b"), F.col("n").alias("nb")
+    a, b = (
+        lists.select(
+            "value",
+            "step",
+            F.col("component").alias(component),
+            F.col("rep").alias(x),
+            F.col("n").alias(f"n_{x}"),
+            F.col("s").alias(f"s_{x}"),
+        )
+        for x, component in (("a", "component"), ("b", "other"))
     )
     return (
         between.join(a, ["value", "step", "component"])
         .join(b, ["value", "step", "other"])
-        .where(_sizes_fit("na", "nb"))
+        .where(_sizes_fit("n_a", "n_b") & _enough(F.least("s_a", "s_b"), "n_a", "n_b"))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
@@ -261,7 +296,7 @@ def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
         .agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")),
         "classes",
     )
-    lists = written(shared_lists(classes), "lists")
+    lists = written(shared_lists(classes.withColumnRenamed("sketch", "values")), "lists")
     readers = written(lists.select("rep").distinct(), "readers")
     sketches = classes.select("rep", "sketch").join(readers, "rep", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -272,17 +307,20 @@ def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
     )
     edges, labels = None, None
     for number in range(star_rounds + 1):
-        open_lists = written(_open_lists(_with_component(lists, labels)), "open-lists")
-        if open_lists.isEmpty():
+        last = number == star_rounds
+        lists = written(_open_lists(_with_component(lists, labels)), "open-lists")
+        if last:
+            members = sets.join(lists.select("rep").distinct(), "rep", "left_semi")
+            values = members.select("rep", F.size("shingles").alias("n"), F.col("shingles").alias("values"))
+            able = _able(_with_component(shared_lists(values, whole=True), labels))
+            lists = written(_open_lists(written(able, "able-lists")), "open-lists")
+        if lists.isEmpty():
             break
-        pairs = _star_pairs(open_lists) if number < star_rounds else _all_pairs_between(open_lists)
+        pairs = _all_pairs_between(lists) if last else _star_pairs(lists, number)
         found = written(verified(pairs, sketches, sets), "links")
-        if found.isEmpty():
-            if number < star_rounds:
-                continue
-            break
-        edges = found if edges is None else edges.union(found)
-        labels = components(edges)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            labels = components(edges)
     reps = classes.select("mark", "rep")
     if labels is not None:
         named = labels.select(F.col("node").alias("rep"), "component")
