@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tarnwork.llm import byte_bpe, near_dedup, packing, quality_rules, secret_scan, token_store
+from tarnwork.llm import (
+    byte_bpe,
+    license_scan,
+    near_dedup,
+    packing,
+    quality_rules,
+    secret_scan,
+    token_store,
+    warc_zstd,
+)
 
 #: Tokens that a packed sequence holds.
 CAPACITY = 4096
@@ -46,6 +55,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc_zstd.round_trip(_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -76,6 +90,10 @@ def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = token_store.round_trip(docs, vocabulary("byte_bpe_50k.json"), 0)
@@ -86,10 +104,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (spark, sf_dir)."""
     return {
         "op1_quality_rules": op1_quality_rules,
+        "op2_warc": op2_warc,
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_byte_bpe": op7_byte_bpe,
         "op8_near_dedup": op8_near_dedup,
+        "op9_license_scan": op9_license_scan,
         "op10_token_ids": op10_token_ids,
     }
 
