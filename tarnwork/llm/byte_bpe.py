@@ -151,12 +151,17 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
+@functools.cache
+def chunk_coder(vocabulary: str, pattern: str) -> ChunkCoder:
+    bpe = ByteBpe.from_file(vocabulary, pattern)
+    return ChunkCoder(lambda chunks: [bpe.encode(x) for x in chunks])
+
+
 def encoded(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``doc_id`` and ``ids`` (little-endian unsigned 32-bit) of every text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = ByteBpe.from_file(vocabulary, pattern)
-        coder = ChunkCoder(lambda chunks: [bpe.encode(x) for x in chunks])
+        coder = chunk_coder(vocabulary, pattern)
         for batch in batches:
             for begin, end in slices(batch.column("text")):
                 rows = batch.slice(begin, end - begin)

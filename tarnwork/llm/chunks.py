@@ -7,16 +7,21 @@ encoded once, and the ids are gathered back in order.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are cut and encoded at once.
-SLICE_BYTES = 8_000_000
-#: Distinct chunks whose ids are remembered from batch to batch.
-MEMO_CHUNKS = 300_000
+SLICE_BYTES = 2_000_000
+#: Distinct chunks whose ids are remembered from batch to batch. Beyond that, the half
+#: that most batches had is kept.
+MEMO_CHUNKS = 250_000
+#: Chunks given to the tokenizers library at once; each costs it about a kilobyte.
+LIBRARY_CHUNKS = 4096
 
 _KIND = np.zeros(256, np.uint8)  # 1 letter, 2 other visible ASCII, 3 lead of U+00C0 to U+07FF
 _KIND[33:127] = 2
@@ -75,6 +80,12 @@ def slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
         begin = end
 
 
+def _gathered(starts: np.ndarray, lengths: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The places of all items of runs, run by run; ``ends`` are the lengths added up."""
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+
+
 class ChunkCoder:
     """Encodes batches of texts; ``encode`` maps distinct chunks to lists of ids.
 
@@ -91,26 +102,45 @@ class ChunkCoder:
         self.ids = np.zeros(0, np.uint32)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
+        self.batches = np.zeros(0, np.int32)  # how many batches had the chunk
+
+    def _keep_half(self) -> None:
+        order = np.sort(np.argsort(-self.batches, kind="stable")[: MEMO_CHUNKS // 2])
+        lengths = self.lengths[order]
+        ends = np.cumsum(lengths)
+        self.ids = self.ids[_gathered(self.starts[order], lengths, ends)]
+        self.starts, self.lengths = ends - lengths, lengths
+        self.chunks = self.chunks.take(pa.array(order))
+        self.batches = self.batches[order] // 2
 
     def _places(self, distinct: pa.Array) -> np.ndarray:
         """Where each chunk stands in the memo, which gets those it lacks."""
         if len(self.chunks) > MEMO_CHUNKS:
-            self._forget()
+            self._keep_half()
         at = pc.index_in(distinct, value_set=self.chunks)
         missing = distinct.filter(pc.is_null(at))
         places = pc.fill_null(at, -1).to_numpy(zero_copy_only=False).astype(np.int64)
         if len(missing):
-            found = self.encode(missing.to_pylist())
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
-            flat = np.fromiter((i for ids in found for i in ids), np.uint32, int(lengths.sum()))
+            lengths, flat = self._encoded(missing)
             begin = len(self.ids) + np.cumsum(lengths) - lengths
-            places[places < 0] = np.arange(len(self.chunks), len(self.chunks) + len(found))
+            places[places < 0] = np.arange(len(self.chunks), len(self.chunks) + len(missing))
             self.chunks = pa.concat_arrays([self.chunks, missing])
             self.ids = np.concatenate([self.ids, flat])
             self.starts = np.concatenate([self.starts, begin])
             self.lengths = np.concatenate([self.lengths, lengths])
+            self.batches = np.concatenate([self.batches, np.zeros(len(missing), np.int32)])
+        self.batches[places] += 1
         return places
 
+    def _encoded(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each chunk has, and all ids."""
+        lengths, ids = [], []
+        for begin in range(0, len(chunks), LIBRARY_CHUNKS):
+            found = self.encode(chunks.slice(begin, LIBRARY_CHUNKS).to_pylist())
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter(chain.from_iterable(found), np.uint32, int(lengths[-1].sum())))
+        return np.concatenate(lengths), np.concatenate(ids)
+
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order, and how many each text has. Null counts as empty."""
         texts = pc.fill_null(texts.cast(pa.string()), "")
@@ -127,12 +157,19 @@ class ChunkCoder:
         places = self._places(chunks.dictionary)[chunks.indices.to_numpy()]
         lengths = self.lengths[places]
         ends = np.cumsum(lengths)
-        total = int(ends[-1])
-        gather = np.repeat(self.starts[places] - (ends - lengths), lengths) + np.arange(total)
+        gather = _gathered(self.starts[places], lengths, ends)
         upto = np.concatenate([[0], ends])[np.searchsorted(first, at)]
+        del chunks
+        pa.default_memory_pool().release_unused()
         return self.ids[gather], np.diff(upto)
 
 
+@functools.cache  # once for each Python worker, which keeps its memo from task to task
+def library_coder(path: str, fold: bool = False) -> ChunkCoder:
+    """A coder for a vocabulary file of the tokenizers library."""
+    return ChunkCoder(library_encoder(path), fold)
+
+
 def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:
     """A vocabulary file of the tokenizers library; special tokens' names are plain text."""
     from tokenizers import Tokenizer

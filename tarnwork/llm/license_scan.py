@@ -154,8 +154,10 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
         "doc_id", F.xxhash64("text").alias("h"), license_words(F.col("text")).alias("_words")
     )
     grams = words.select("doc_id", "h", _grams(F.col("_words")).alias("_grams")).select(
-        "doc_id", "h", F.posexplode("_grams").alias("place", "gram")
+        "doc_id", "h", F.posexplode_outer("_grams").alias("place", "gram")
     )
+    # explode_outer: explode adds a filter on the array, which would move below the words
+    # and cut them again for every gram.
     votes = (
         grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "gram")
         .select("doc_id", "h", "template", "label", "total", "at", "place")

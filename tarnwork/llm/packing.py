@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.llm.chunks import ChunkCoder, library_encoder, slices
+from tarnwork.llm.chunks import library_coder, slices
 from tarnwork.llm.common import written
 
 #: Ranks within a length are dealt in so many parts, so that no length is one task.
@@ -38,7 +38,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
     schema = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(library_encoder(vocabulary), fold=True)
+        coder = library_coder(vocabulary, fold=True)
         for batch in batches:
             for begin, end in slices(batch.column("text")):
                 part = batch.slice(begin, end - begin)
@@ -211,7 +211,7 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
             Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
         )
         - 1,
-    ).join(F.broadcast(before), ["length", "_salt"])  # at most capacity * SALTS rows
+    ).join(before, ["length", "_salt"])
     names = [c for c in pieces.columns]
     ranked = ranked.select(*names, (F.col("_before") + F.col("_local")).cast("long").alias("_rank"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.llm.chunks import ChunkCoder, library_encoder, slices
+from tarnwork.llm.chunks import library_coder, slices
 from tarnwork.llm.common import shared_folder, written
 from tarnwork.llm.store import read_file, write_file
 
@@ -41,7 +41,7 @@ HEAD = struct.Struct("<4sIQQI")
 #: Bits between two entries of a rank directory.
 BLOCK = 512
 #: Tokens after which a file is closed.
-FILE_TOKENS = 8_000_000
+FILE_TOKENS = 4_000_000
 
 _ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
 
@@ -150,7 +150,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFra
     schema = "part int, number int, file string, documents long, tokens long, bytes long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = ChunkCoder(library_encoder(vocabulary))
+        coder = library_coder(vocabulary)
         part, number, held, tokens = TaskContext.get().partitionId(), 0, [], 0
 
         def flush() -> pa.RecordBatch:
