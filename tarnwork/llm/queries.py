@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import (
     byte_bpe,
+    html_blocks,
     license_scan,
     near_dedup,
     packing,
@@ -60,6 +61,10 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_blocks.extracted(_table(spark, sf_dir, "pages"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -105,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op2_warc": op2_warc,
+        "op3_html_text": op3_html_text,
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_byte_bpe": op7_byte_bpe,
