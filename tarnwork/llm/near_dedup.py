@@ -151,8 +151,8 @@ def shared_lists(classes: DataFrame, whole: bool = False) -> DataFrame:
     """``rep``, ``n``, ``s``, ``value`` and ``step``: the lists to read for each class.
 
     ``classes`` has ``rep``, ``n`` and ``values``: sketches, or whole sets if ``whole``.
-    ``s`` bounds what a class can have in common with another: for whole sets, its
-    values that are not its alone.
+    ``s`` bounds what two classes can have in common whose rarest common value this is: of
+    whole sets, the value and all that are less rare.
     """
     values = classes.select("rep", "n", F.size("values").alias("k"), F.explode("values").alias("value"))
     counts = values.groupBy("value").agg(F.count("*").alias("c")).where("c > 1")
@@ -166,14 +166,21 @@ def shared_lists(classes: DataFrame, whole: bool = False) -> DataFrame:
     alone = F.col("k") - F.size("shared")
     taken = F.greatest(F.col("k") - common + 1 - alone, F.lit(0)).cast("int")
     step = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / LIMIT) + 1e-9).cast("int")
-    bound = F.size("shared").cast("long") if whole else F.col("n")
-    return own.select(
+    opened = own.select(
         "rep",
         "n",
-        bound.alias("s"),
-        F.explode(F.slice("shared", F.lit(1), taken)).alias("at"),
+        alone.alias("alone"),
+        F.posexplode(F.slice("shared", F.lit(1), taken)).alias("i", "at"),
         step.alias("low"),
-    ).select("rep", "n", "s", "at.value", F.explode(F.array("low", F.col("low") + 1)).alias("step"))
+    )
+    bound = F.col("n") - F.col("alone") - F.col("i") if whole else F.col("n")
+    return opened.select(
+        "rep",
+        "n",
+        bound.alias("s"),
+        "at.value",
+        F.explode(F.array("low", F.col("low") + 1)).alias("step"),
+    )
 
 
 def _sizes_fit(n: str, m: str) -> Column:
@@ -186,7 +193,11 @@ def _enough(common: Column, n: str, m: str) -> Column:
 
 
 def _able(lists: DataFrame) -> DataFrame:
-    """Members of lists that could reach the limit with a list's smallest member."""
+    """Members of lists that could reach the limit with a list's smallest member.
+
+    A pair is found in the list of its rarest common value if at all; in the lists of its
+    other common values the bound is lower, and it need not be found again.
+    """
     least = lists.groupBy("value", "step").agg(F.min("n").alias("least"))
     return lists.join(least, ["value", "step"]).where(_enough(F.col("s"), "n", "least")).drop("least")
 
