@@ -11,6 +11,7 @@ from tarnwork.llm import (
     byte_bpe,
     html_blocks,
     license_scan,
+    multi_index,
     near_dedup,
     packing,
     quality_rules,
@@ -65,6 +66,10 @@ def op3_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extracted(_table(spark, sf_dir, "pages"))
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest(_table(spark, sf_dir, "embeddings"), query_every=50, k=5)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.find_secrets(_table(spark, sf_dir, "documents"))
 
@@ -111,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": op1_quality_rules,
         "op2_warc": op2_warc,
         "op3_html_text": op3_html_text,
+        "op4_multi_index": op4_multi_index,
         "op5_secret_scan": op5_secret_scan,
         "op6_best_fit_packing": op6_best_fit_packing,
         "op7_byte_bpe": op7_byte_bpe,
@@ -121,5 +127,63 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    """Query name -> SQL that gives the same rows in DuckDB."""
-    return {}
+    """Query name -> SQL that gives the same rows in DuckDB.
+
+    The others have parts that SQL cannot express: learned rules and trees, an
+    approximate index, tokenizers, packing, statistics of tokens, the method's own labels.
+    """
+    return {"op2_warc": _WARC_SQL, "op8_near_dedup": _NEAR_DEDUP_SQL}
+
+
+#: SHA-1 comes as 40 hex digits; each five of them are four digits of base 32.
+_WARC_SQL = """
+    WITH p AS (
+        SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS hex FROM pages
+    ), kept AS (
+        SELECT html, max(page_id) AS kept FROM p GROUP BY html
+    )
+    SELECT page_id,
+           CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+           list_aggregate(list_transform(range(32), lambda i: substr(
+               'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+               CAST((CAST('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5) AS BIGINT)
+                     >> CAST(15 - i % 4 * 5 AS INT)) & 31 AS INT) + 1, 1)), 'string_agg', '')
+               AS payload_digest,
+           CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id != kept THEN kept END AS refers_to
+    FROM p JOIN kept USING (html)
+"""
+
+_NEAR_DEDUP_SQL = r"""
+    WITH RECURSIVE w AS (
+        SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS words
+        FROM documents
+    ), sets AS (
+        SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(
+                range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+            WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
+        FROM w
+    ), sizes AS (
+        SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets
+    ), flat AS (
+        SELECT doc_id, unnest(shingles) AS s FROM sets
+    ), links AS (
+        SELECT a.doc_id AS a, b.doc_id AS b
+        FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id
+        JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
+        GROUP BY a.doc_id, b.doc_id, x.n, y.n
+        HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
+    ), both AS (
+        SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+    ), reach(doc_id, other) AS (
+        SELECT doc_id, doc_id FROM sizes
+        UNION
+        SELECT r.doc_id, l.b FROM reach r JOIN both l ON l.a = r.other
+    )
+    SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id,
+           s.doc_id = min(r.other) AS kept
+    FROM sizes s JOIN reach r ON r.doc_id = s.doc_id
+    GROUP BY s.doc_id, s.n
+"""
