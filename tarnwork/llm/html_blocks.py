@@ -232,6 +232,12 @@ EXAMPLES = (
     f"<div class=related><!--drop-->{_links(10)} {_text(15)}</div><footer><!--drop--><p>{_text(50)}</footer>",
     f"<div><!--drop-->{_links(3)}</div><div><!--drop-->{_text(2)}</div><div><!--drop-->{_links(4)}</div>"
     f"<div><!--keep--><p>{_text(80)}<p>{_text(65)}</div><div><!--drop-->{_text(3)} {_links(3)}</div>",
+    f"<div><!--drop-->{_links(5)}</div><div><!--keep--><p>{_text(14)}</div><div><!--drop-->{_links(7)}</div>"
+    f"<div><!--drop-->{_text(3)}</div><div><!--drop-->{_links(2)}</div>",
+    f"<nav><!--drop-->{_links(6)}</nav><article><!--keep--><h1>{_text(2)}</h1><p>{_text(3)}<p>{_text(30)}"
+    f"<p>{_links(2)}<p>{_text(1)}</article><nav><!--drop-->{_links(3)}</nav>",
+    f"<div><!--keep--><p>{_text(100)}<p>{_text(20)}</div><div><!--drop-->{_links(12)}</div>"
+    f"<div><!--keep--><p>{_text(130)}</div><div><!--drop-->{_links(6)}</div><div><!--drop-->{_links(9)}</div>",
 )
 
 

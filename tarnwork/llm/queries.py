@@ -175,12 +175,12 @@ _NEAR_DEDUP_SQL = r"""
         JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
         GROUP BY a.doc_id, b.doc_id, x.n, y.n
         HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))
-    ), both AS (
+    ), ways AS (
         SELECT a, b FROM links UNION ALL SELECT b, a FROM links
     ), reach(doc_id, other) AS (
         SELECT doc_id, doc_id FROM sizes
         UNION
-        SELECT r.doc_id, l.b FROM reach r JOIN both l ON l.a = r.other
+        SELECT r.doc_id, l.b FROM reach r JOIN ways l ON l.a = r.other
     )
     SELECT s.doc_id, s.n AS n_shingles, min(r.other) AS component_id,
            s.doc_id = min(r.other) AS kept

@@ -1,0 +1,46 @@
+import re
+
+from pyspark.sql import functions as F
+
+from tarnwork.llm import license_scan as s
+
+
+def brute(text):
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places, labels = [], set()
+    for phrase, label in s.PHRASES.items():
+        own = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(own)] == own]
+        places += at
+        labels |= {label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_phrases_equal_brute_force(documents, sample, edges):
+    odd = "mit license MIT-License cc by cc by 4.0 é apache license\nGNU general  public license"
+    rows = [*sample.items(), *edges, (-8, odd), (-9, "MIT licensed; mit licenseé"), (-10, "cc by " * 2000)]
+    got = s.licenses(documents(rows)).collect()
+    texts = dict(rows)
+    assert len(got) == len(rows)
+    for r in got:
+        found = (r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"])
+        assert found == brute(texts[r["doc_id"]]), r["doc_id"]
+        assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(","))
+        assert 0 <= r["score"] <= 1
+
+
+def test_license_texts_are_found_with_insertions_and_not_in_part(documents):
+    mit = s.TEMPLATES["mit"][1]
+    words = mit.split()
+    changed = " ".join(words[:30] + ["quite", "other"] + words[30:60] + words[61:])
+    docs = documents([
+        (1, f"before {changed} after"), (2, " ".join(words[:20])), (3, f"{mit} {s.TEMPLATES['isc'][0]}"), (4, f"{mit}\n" * 3), (5, "plain words only"),
+    ])
+    got = {r["doc_id"]: r for r in s.licenses(docs).collect()}
+    assert got[1]["labels"] == "mit" and 0.6 <= got[1]["score"] < 1
+    assert got[2]["labels"] == "" and got[2]["score"] == 0
+    assert got[3]["labels"] == "isc,mit" and got[4]["labels"] == "mit" and got[4]["score"] == 1
+    assert got[5]["labels"] == ""
+    spans = s.license_spans(docs).where("doc_id = 4").orderBy("start").collect()
+    assert len(spans) == 3
+    assert s.licenses(docs.where(F.lit(False))).count() == 0
