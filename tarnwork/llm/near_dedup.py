@@ -274,10 +274,15 @@ def _star_pairs(lists: DataFrame, number: int) -> DataFrame:
 
 
 def _all_pairs_between(lists: DataFrame) -> DataFrame:
-    """Pairs of one list in different components, sizes within the limit's ratio."""
-    groups = lists.select("value", "step", "component").distinct()
-    other = groups.withColumnRenamed("component", "other")
-    between = groups.join(other, ["value", "step"]).where("component < other")
+    """Pairs of one list in different components, sizes within the limit's ratio.
+
+    Of two components the smaller is written out first, so that the larger one's members
+    come in by the join that tests the pairs.
+    """
+    groups = lists.groupBy("value", "step", "component").agg(F.count("*").alias("c"))
+    other = groups.select("value", "step", F.col("component").alias("other"), F.col("c").alias("d"))
+    smaller = F.struct("c", "component") < F.struct("d", "other")
+    between = groups.join(other, ["value", "step"]).where(smaller).drop("c", "d")
     a, b = (
         lists.select(
             "value",
