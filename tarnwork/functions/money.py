@@ -36,9 +36,16 @@ def hundredths(name: str) -> Column:
 
 def discounted(price: Column, discount: Column) -> Column:
     """``price * (1 - discount)`` of two columns in hundredths, at scale 4."""
-    return price * (100 - discount)
+    return _product(price, 100 - discount)
 
 
 def charged(price: Column, discount: Column, tax: Column) -> Column:
     """``price * (1 - discount) * (1 + tax)`` of three columns in hundredths, at scale 6."""
-    return discounted(price, discount) * (100 + tax)
+    return _product(discounted(price, discount), 100 + tax)
+
+
+def _product(a: Column, b: Column) -> Column:
+    """``a * b``; a product past the bigint range fails the query in any session."""
+    product = F.try_multiply(a, b)
+    lost = product.isNull() & a.isNotNull() & b.isNotNull()
+    return F.when(lost, F.raise_error(F.lit("a product passes the bigint range"))).otherwise(product)

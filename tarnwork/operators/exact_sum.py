@@ -21,7 +21,7 @@ def exact_sum(units: Column, scale: int, wide: bool = True) -> Column:
     for 8.7 * 10**12 rows per group while ``abs(units) <= 10**12``.
 
     ``wide=False`` keeps to one bigint, which holds for as many rows while
-    ``abs(units) <= 10**6``. Beyond either range ANSI mode raises an error.
+    ``abs(units) <= 10**6``. Beyond either range the query fails, in any session.
 
     The result does not depend on the order of addition, so a task that runs
     again on another executor changes nothing. Like ``sum``, it skips nulls and
@@ -30,9 +30,11 @@ def exact_sum(units: Column, scale: int, wide: bool = True) -> Column:
     if not 0 <= scale <= MAX_SCALE:
         raise ValueError(f"scale must be between 0 and {MAX_SCALE}, not {scale}")
     if wide:
-        high = F.sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
-        low = F.sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
+        high = F.try_sum(F.shiftright(units, LOW_BITS)).cast("decimal(19,0)")
+        low = F.try_sum(units.bitwiseAND(F.lit((1 << LOW_BITS) - 1))).cast("decimal(19,0)")
         total = high * F.lit(Decimal(1 << LOW_BITS)) + low
     else:
-        total = F.sum(units).cast("decimal(19,0)")
-    return (total * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")
+        total = F.try_sum(units).cast("decimal(19,0)")
+    lost = total.isNull() & (F.count(units) > 0)
+    checked = F.when(lost, F.raise_error(F.lit("a sum passes the bigint range"))).otherwise(total)
+    return (checked * F.lit(Decimal(1).scaleb(-scale))).cast(f"decimal(38,{scale})")

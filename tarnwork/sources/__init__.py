@@ -1,3 +1,3 @@
-from tarnwork.sources.tables import TABLES, load
+from tarnwork.sources.tables import TABLES, day_start, load
 
-__all__ = ["TABLES", "load"]
+__all__ = ["TABLES", "day_start", "load"]

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TABLES = (
@@ -29,18 +32,20 @@ def load(spark: SparkSession, base: str, name: str) -> DataFrame:
     The schema comes from a parquet footer, so a missing column fails when the
     plan is analysed. A declared schema would read it as nulls instead.
 
-    Times are always ``timestamp_ntz``, the stored UTC clock. As ``timestamp`` they
-    would compare with a day in the time zone of whoever runs the query.
+    Times keep the type that Spark gives them, for the filter on a UTC instant skips row
+    groups and one on a ``timestamp_ntz`` does not. Compare them with ``day_start``.
     """
     if name not in TABLES:
         raise ValueError(f"unknown table {name!r}; known: {', '.join(TABLES)}")
-    path = f"{base.rstrip('/')}/{name}.parquet"
-    df = spark.read.parquet(path)
-    schema = T.StructType([_zoneless(field) for field in df.schema])
-    return df if schema == df.schema else spark.read.schema(schema).parquet(path)
+    return spark.read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+
 
+def day_start(df: DataFrame, column: str, day: dt.date) -> Column:
+    """The start of a day on the stored UTC clock, to compare a column of ``df`` with.
 
-def _zoneless(field: T.StructField) -> T.StructField:
-    if isinstance(field.dataType, T.TimestampType):
-        return T.StructField(field.name, T.TimestampNTZType(), field.nullable)
-    return field
+    For a ``timestamp`` it is an instant, the same in any session's time zone.
+    """
+    if isinstance(df.schema[column].dataType, T.TimestampType):
+        midnight = dt.datetime(day.year, day.month, day.day, tzinfo=dt.timezone.utc)
+        return F.timestamp_seconds(F.lit(int(midnight.timestamp())))
+    return F.lit(day)

@@ -5,7 +5,7 @@ from decimal import Decimal
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.errors import ArithmeticException
+from pyspark.errors import ArithmeticException, SparkRuntimeException
 from pyspark.sql import functions as F
 
 from tarnwork.operators import exact_sum
@@ -39,10 +39,12 @@ def test_passes_the_bigint_range(spark):
     assert df.agg(exact_sum(F.col("v"), 6).alias("t")).first()["t"] == Decimal(rows * value).scaleb(-6)
 
 
-def test_narrow_sum_fails_loudly_out_of_range(spark):
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_narrow_sum_fails_loudly_out_of_range(spark, set_for, ansi):
     df = spark.range(1000).select(F.lit(9 * 10**16).alias("v"))
-    with pytest.raises(ArithmeticException):
-        df.agg(exact_sum(F.col("v"), 2, wide=False)).first()
+    with set_for(spark__sql__ansi__enabled=ansi):
+        with pytest.raises(SparkRuntimeException, match="a sum passes the bigint range"):
+            df.agg(exact_sum(F.col("v"), 2, wide=False)).first()
 
 
 def test_narrow_and_wide_agree(spark):

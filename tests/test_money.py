@@ -49,6 +49,17 @@ def test_prices(spark):
     assert Decimal(row["c"]).scaleb(-6) == net * (1 + Decimal("0.08"))
 
 
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_a_product_out_of_range_fails_in_any_session(spark, set_for, ansi):
+    df = spark.createDataFrame([(1e13, 0.0, 0.08)], "p double, d double, t double")
+    price, discount, tax = (hundredths(c) for c in "pdt")
+    with set_for(spark__sql__ansi__enabled=ansi):
+        with pytest.raises(SparkRuntimeException, match="a product passes the bigint range"):
+            df.select(charged(price, discount, tax)).collect()
+        null = spark.createDataFrame([(None, 0.0, 0.08)], "p double, d double, t double")
+        assert null.select(charged(price, discount, tax)).first()[0] is None
+
+
 @pytest.mark.parametrize("scale", SCALES)
 def test_given_amounts_have_two_decimals(spark, scale):
     """What counting in hundredths rests on, checked on every row."""

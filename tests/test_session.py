@@ -5,7 +5,7 @@ import importlib
 import pytest
 
 from tarnwork.session import RESULT_SETTINGS, get_session
-from tests.tables import sf_dir
+from tests.tables import own, sf_dir
 
 ENTRY = importlib.import_module("__spark_entry__")
 
@@ -38,7 +38,7 @@ def test_checkpoint_folder_is_left_to_the_cluster(spark):
     ],
     ids=lambda settings: ",".join(key.removeprefix("spark.sql.") for key in settings),
 )
-@pytest.mark.parametrize("name", sorted(ENTRY.queries()))
+@pytest.mark.parametrize("name", own(ENTRY.queries()))
 def test_queries_do_not_depend_on_the_callers_session(spark, set_for, name, settings):
     query = ENTRY.queries()[name]
     expected = query(spark, sf_dir("0.01")).collect()
