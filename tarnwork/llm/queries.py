@@ -160,7 +160,7 @@ _NEAR_DEDUP_SQL = r"""
             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^\x20\x09-\x0D]+') AS words
         FROM documents
-    ), sets AS (
+    ), sets AS MATERIALIZED (
         SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(
                 range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
             WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles
@@ -169,7 +169,7 @@ _NEAR_DEDUP_SQL = r"""
         SELECT doc_id, CAST(len(shingles) AS BIGINT) AS n FROM sets
     ), flat AS (
         SELECT doc_id, unnest(shingles) AS s FROM sets
-    ), links AS (
+    ), links AS MATERIALIZED (
         SELECT a.doc_id AS a, b.doc_id AS b
         FROM flat a JOIN flat b ON a.s = b.s AND a.doc_id < b.doc_id
         JOIN sizes x ON x.doc_id = a.doc_id JOIN sizes y ON y.doc_id = b.doc_id
