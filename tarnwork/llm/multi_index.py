@@ -161,11 +161,10 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE)
         for r in entries.groupBy("first", "second").count().collect()  # cells
     }
     enough = max(LEAST, share * sum(counts.values()))
+    asking = rows.where(F.col("vec_id") % query_every == 0)
+    keys = asking.groupBy("embedding").agg(F.min("vec_id").alias("key"))
     queries = written(
-        rows.where(F.col("vec_id") % query_every == 0)
-        .withColumn("key", F.min("vec_id").over(Window.partitionBy("embedding")))
-        .select("vec_id", "key", "embedding"),
-        "queries",
+        asking.join(keys, "embedding").select("vec_id", "key", "embedding"), "queries"
     )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
