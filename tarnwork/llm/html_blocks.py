@@ -3,8 +3,11 @@
 A page is read once, tag by tag, into blocks of text that block-level tags separate. A
 block's features are its own word count and link density, those of its two neighbours,
 and what it stands in: the article element, or a container that by tag, role, class or id
-holds menus, notices, adverts, forms or comments. A decision tree says which blocks are
-text. It is grown, by Gini impurity, on the labelled blocks of ``EXAMPLES``.
+holds menus, notices, adverts, forms or comments. Such a container around the page's main
+or article element is a wrapper and counts for nothing. On pages without these elements,
+and inside them, the number of words outside the container is a feature too, as a form or
+widget may hold the article. A decision tree says which blocks are text. It is grown, by
+Gini impurity, on the labelled blocks of ``EXAMPLES``.
 
 Defined results. Null and empty html give an empty text. Tags that are never closed end
 with their container; a lone ``<`` is text. White space of any kind, no-break spaces
@@ -36,12 +39,23 @@ CONTAINERS = frozenset(
     "details fieldset".split()
 )
 BOILERPLATE = frozenset("nav footer aside form dialog menu fieldset".split())
+#: Those of them that never hold a page's article, unless by an article or main element.
+FIRM = BOILERPLATE - {"form", "fieldset"}
 HINTS = frozenset(
     "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments "
     "consent cookie cookies copyright disqus footer form header login masthead menu modal nav "
     "navbar navigation newsletter notice pagination popup promo promoted related replies reply "
     "respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that may stand in a container's name beside a hint, as in site-footer.
+BESIDE = frozenset(
+    "area article bar block bottom box container desktop entry global inner left list main "
+    "mobile page post primary right secondary section site top wrapper".split()
+)
+#: Hints that name an article's own head too, and the words beside which they do not.
+HEADS, OF_SITE = frozenset("header masthead".split()), frozenset("global main site top".split())
+#: Unlinked words outside a container that are counted at most.
+ENOUGH = 40
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 TOKEN = re.compile(
@@ -50,7 +64,7 @@ TOKEN = re.compile(
     r"|[^<]+|<",
     re.DOTALL,
 )
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SKIPPED}
 WORD = re.compile(r"[^\W_]+")
 LABEL = re.compile(r"<!--(keep|drop)-->")
@@ -58,7 +72,7 @@ LABEL = re.compile(r"<!--(keep|drop)-->")
 #: Names of a block's features, in order.
 FEATURES = (
     "words", "links", "words_before", "links_before", "words_after", "links_after",
-    "in_article", "in_boilerplate",
+    "in_article", "in_boilerplate", "words_outside",
 )
 
 
@@ -67,34 +81,91 @@ class Block:
     text: str
     words: int
     linked: int
-    in_article: bool
-    in_boilerplate: bool
+    article: tuple[int, int]  # 1 in an article, 2 in main; container around that
+    container: int  # the innermost that holds something other than text, or 0
     keep: bool | None = None
+    in_article: bool = False
+    in_boilerplate: bool = False
+    words_outside: int = 0  # of the container: ``ENOUGH`` if it cannot hold the article
 
     @property
     def links(self) -> float:
         return self.linked / self.words if self.words else 0.0
 
 
-def _marked(tag: str, rest: str, in_article: bool) -> bool:
+def _hint(name: str, in_article: bool) -> bool:
+    """Whether a class, id or role as a whole names something other than text."""
+    parts = {part for part in re.split(r"[_-]+", name) if part}
+    hints = parts & HINTS
+    if hints and hints <= HEADS:
+        return not in_article and parts <= HEADS | OF_SITE
+    return bool(hints) and parts <= HINTS | BESIDE
+
+
+def _names(rest: str) -> list[str]:
+    """The names in a tag's class, id and role, in lower case."""
+    if "=" not in rest:
+        return []
+    found = ATTRIBUTE.finditer(rest)
+    return [name for f in found for name in (f[2] or f[3] or f[4] or "").lower().split()]
+
+
+def _marked(tag: str, names: list[str], in_article: bool) -> bool:
     """Whether an element is a container of something other than text."""
     if tag in BOILERPLATE or (tag == "header" and not in_article):
         return True
-    if "=" not in rest:
-        return False
-    for found in ATTRIBUTE.finditer(rest):
-        value = found[2] or found[3] or found[4] or ""
-        if not HINTS.isdisjoint(re.split(r"[\s_-]+", value.lower())):
-            return True
-    return False
+    return tag != "main" and any(_hint(name, in_article) for name in names)
+
+
+def _place(found: list[Block], around: list[int], firm: list[bool]) -> None:
+    """Say of each block whether it is in the article, or in a container that is not.
+
+    ``around`` has, for each container, the one around it, ``firm`` whether it is ``FIRM``.
+    """
+    bare = sum(b.words - b.linked for b in found if not b.container)
+    depth = [0] * len(around)
+    for i in range(1, len(around)):
+        depth[i] = depth[around[i]] + 1
+    kind = max((b.article[0] for b in found), default=0)
+    homes: dict[int, int] = {}
+    for b in found:
+        if b.article[0] == kind > 0:
+            homes[b.article[1]] = homes.get(b.article[1], 0) + b.words - b.linked
+    wrappers = set()
+    if homes and 0 not in homes:
+        home = min(homes, key=lambda i: (depth[i], -homes[i]))
+        if kind == 2 or homes[home] > bare:
+            while home:
+                wrappers.add(home)
+                home = around[home]
+    for i in range(1, len(around)):
+        depth[i] = depth[around[i]] + (i not in wrappers)
+        firm[i] = firm[around[i]] or (firm[i] and i not in wrappers)
+    for b in found:
+        b.in_article = b.article[0] > 0 and depth[b.article[1]] == 0
+    articles = any(b.in_article for b in found)
+    words: dict[int, int] = {}
+    for b in found:
+        if b.in_article or not articles:
+            words[depth[b.container]] = words.get(depth[b.container], 0) + b.words - b.linked
+    outside, total = {}, 0
+    for level in sorted({depth[b.container] for b in found}):
+        outside[level] = total
+        total += words.get(level, 0)
+    for b in found:
+        if level := depth[b.container]:
+            b.in_boilerplate = True
+            never = firm[b.container] or (articles and not b.in_article)
+            b.words_outside = ENOUGH if never else min(outside[level], ENOUGH)
 
 
 def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; those without any text are left out."""
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    open_: list[tuple[str, bool, bool]] = []  # containers: tag, article, boilerplate
-    article = boilerplate = link = False
+    open_: list[tuple[str, tuple[int, int], int]] = []  # containers: tag, article, container
+    around, firm = [0], [False]
+    article, container, link = (0, 0), 0, False
     label: bool | None = None
 
     def end_block() -> None:
@@ -105,7 +176,7 @@ def blocks(page: str) -> list[Block]:
         if text:
             words = len(WORD.findall(text))
             linked = sum(len(WORD.findall(t)) for t, is_link in pieces if is_link)
-            out.append(Block(text, words, min(linked, words), article, boilerplate, label))
+            out.append(Block(text, words, min(linked, words), article, container, label))
         pieces.clear()
 
     at, size = 0, len(page)
@@ -139,29 +210,37 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in CONTAINERS:
             if not closes:
-                open_.append((tag, article, boilerplate))
-                boilerplate = boilerplate or _marked(tag, found["rest"], article)
-                article = article or tag in ("article", "main")
+                open_.append((tag, article, container))
+                names = _names(found["rest"])
+                marked = _marked(tag, names, article[0] > 0)
+                if marked:
+                    around.append(container)
+                    firm.append(tag in FIRM)
+                    container = len(around) - 1
+                kind = 2 if tag == "main" else int(tag == "article")
+                if kind > article[0] and not marked:
+                    article = (kind, container)
                 link = False
             else:
                 for k in range(len(open_) - 1, -1, -1):
                     if open_[k][0] == tag:
-                        _, article, boilerplate = open_[k]
+                        _, article, container = open_[k]
                         del open_[k:]
                         link = False
                         break
     end_block()
+    _place(out, around, firm)
     return out
 
 
 def features(found: list[Block]) -> list[tuple[float, ...]]:
     """A row of ``FEATURES`` for each block of a page."""
-    none = Block("", 0, 0, False, False)
+    none = Block("", 0, 0, (0, 0), 0)
     padded = [none, *found, none]
     return [
         (
             b.words, b.links, before.words, before.links, after.words, after.links,
-            float(b.in_article), float(b.in_boilerplate),
+            float(b.in_article), float(b.in_boilerplate), float(b.words_outside),
         )
         for before, b, after in zip(padded, found, padded[2:], strict=False)
     ]
@@ -238,6 +317,23 @@ EXAMPLES = (
     f"<p>{_links(2)}<p>{_text(1)}</article><nav><!--drop-->{_links(3)}</nav>",
     f"<div><!--keep--><p>{_text(100)}<p>{_text(20)}</div><div><!--drop-->{_links(12)}</div>"
     f"<div><!--keep--><p>{_text(130)}</div><div><!--drop-->{_links(6)}</div><div><!--drop-->{_links(9)}</div>",
+    f"<main class='has-sidebar'><!--keep--><div class='article-header'><h1>{_text(4)}</h1></div><p>{_text(50)}"
+    f"<div class=widget><!--drop--><p>{_text(18)}<p>{_links(3)}</div><!--keep--><p>{_text(28)}<p>{_text(3)}</main>"
+    f"<div class=sidebar><!--drop--><p>{_text(26)}<p>{_links(4)}</div>",
+    f"<form><nav><!--drop-->{_links(5)}</nav><div><!--keep--><h1>{_text(6)}</h1><p>{_text(64)}<p>{_text(24)}"
+    f"<p>{_text(75)} {_links(2)}</div><div class=comments><!--drop--><p>{_text(40)}<p>{_text(21)}</div>"
+    f"<footer><!--drop-->{_text(23)}</footer></form>",
+    f"<div><!--drop-->{_text(2)}</div><form><div><!--drop-->{_links(6)}</div><div><!--keep--><p>{_text(58)}"
+    f"<p>{_text(19)}<p>{_text(81)}</div><div><!--drop-->{_links(8)}</div><div><!--drop-->{_text(2)}</div>"
+    f"<div><!--drop-->{_links(4)}</div></form>",
+    f"<article><!--keep--><h1>{_text(9)}</h1><p>{_text(4)}<p>{_text(8)}<div class=widget><p>{_text(52)}<p>{_text(31)}<p>{_text(66)}</div></article>"
+    f"<div class=comments><!--drop--><p>{_text(38)}<p>{_text(62)}</div>",
+    f"<div><!--drop-->{_links(4)}</div><article><!--keep--><h1>{_text(8)}</h1><p>{_text(13)}<form><p>{_text(47)}<p>{_text(73)}"
+    f"<p>{_text(22)} {_links(2)}</form></article><footer><!--drop-->{_text(41)} {_links(3)}</footer>",
+    f"<article><!--keep--><h1>{_text(3)}</h1><p>{_text(10)}</article><div class=comments><!--drop--><p>{_text(37)}"
+    f"<p>{_text(54)}</div><footer><!--drop--><p>{_text(43)}<p>{_text(16)}</footer>",
+    f"<div><!--drop-->{_text(2)}</div><div><!--keep--><p>{_text(13)}</div><div><!--drop-->{_text(3)}</div><aside><!--drop--><p>{_text(34)}<p>{_text(12)}</aside>"
+    f"<footer><!--drop--><p>{_text(47)}<p>{_text(20)}</footer>",
 )
 
 

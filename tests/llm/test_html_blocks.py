@@ -56,3 +56,39 @@ def test_held_out_accuracy():
         total += len(found)
         right += sum(h.decide(tree, x) == b.keep for x, b in zip(h.features(found), found))
     assert right >= 0.8 * total
+
+
+BODY = "word " * 40
+
+
+def test_articles_in_wrappers_named_like_something_else():
+    inner = f"<h1>A title of five words</h1><p>{BODY}<p>{BODY}<p>One end."
+    text = " ".join(["A title of five words", *["word"] * 80, "One end."])
+    for page in (
+        f"<main class='has-sidebar'>{inner}</main>",
+        f"<article class='post has-comments'>{inner}</article>",
+        f"<form><nav><a href=/x>Home</a></nav><article>{inner}</article><footer>{BODY}</footer></form>",
+        f"<header><main>{inner}</main></header><aside><article>{BODY}</article></aside>",
+        f"<article><div class='article-header'><h1>A title of five words</h1></div><p>{BODY}<p>{BODY}<p>One end.</article>",
+        f"<article><div class=header><h1>A title of five words</h1></div><p>{BODY}<p>{BODY}<p>One end.</article>",
+        f"<article><h1>A title of five words</h1><div class=widget><p>{BODY}<p>{BODY}<p>One end.</div></article>",
+        f"<div data-id=comments><article>{inner}</article></div>",
+    ):
+        assert h.main_text(page, TREE) == text, page
+
+
+def test_wrappers_without_an_article_element():
+    inner = f"<h1>A title of five words</h1><p>{BODY}<p>{BODY}"
+    rest = f"<div class=comment-list>{BODY}</div><footer>{BODY}</footer>"
+    text = " ".join(["A title of five words", *["word"] * 80])
+    for page in (f"<div id='content-no-sidebar'>{inner}</div>{rest}", f"<form><div>{inner}</div>{rest}</form>"):
+        assert h.main_text(page, TREE) == text, page
+
+
+def test_comments_beside_articles_go_however_they_are_wrapped():
+    article = f"<article><h1>Title</h1><p>{BODY}</article>"
+    comments = f"<div id=comments><article>first {BODY * 5}</article><article class=comment>second {BODY}</article></div>"
+    for page in (article + comments, f"<form>{article}{comments}</form>", f"<main>{article}{comments}</main>"):
+        assert h.main_text(page, TREE) == " ".join(["Title", *["word"] * 40]), page
+    short = f"<article><h1>Title</h1><p>Short.</article><footer>{BODY}</footer><div class=comments><p>{BODY}</div>"
+    assert h.main_text(short, TREE) == "Title Short."
