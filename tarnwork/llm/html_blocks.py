@@ -10,7 +10,10 @@ widget may hold the article. A decision tree says which blocks are text. It is g
 Gini impurity, on the labelled blocks of ``EXAMPLES``.
 
 Defined results. Null and empty html give an empty text. Tags that are never closed end
-with their container; a lone ``<`` is text. White space of any kind, no-break spaces
+with their container; an unclosed script, style, title or textarea runs to the end of the
+page. What stands in a button, a picture or a player is no text; if one of these is not closed
+within its container, the text after it is read as if its tag were not there. Formulas keep
+their text, a blank between their parts. A lone ``<`` is text. White space of any kind, no-break spaces
 included, is one space. Repeated rows get the same result each.
 """
 
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import html as references
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,9 +34,15 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q "
     "s samp small span strike strong sub sup time tt u var wbr".split()
 )
-SKIPPED = (
-    "script", "style", "noscript", "template", "svg", "math", "head", "title", "textarea",
-    "select", "button", "iframe", "object", "canvas", "audio", "video",
+#: Elements whose content has no tags, and the head.
+RAW = ("script", "style", "title", "textarea", "head")
+SKIPPED = frozenset(
+    "noscript template svg select button iframe object canvas audio video annotation-xml".split()
+)
+MATH = frozenset(
+    "math maction maligngroup malignmark menclose merror mfenced mfrac mglyph mi mlabeledtr "
+    "mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub "
+    "msubsup msup mtable mtd mtext mtr munder munderover none semantics".split()
 )
 CONTAINERS = frozenset(
     "article main nav header footer aside form div section ul ol dl table dialog menu "
@@ -65,7 +75,8 @@ TOKEN = re.compile(
     re.DOTALL,
 )
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in SKIPPED}
+ENDS = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
+ANNOTATION = re.compile(r"[^<]*</annotation\s*>", re.I)
 WORD = re.compile(r"[^\W_]+")
 LABEL = re.compile(r"<!--(keep|drop)-->")
 
@@ -163,7 +174,9 @@ def blocks(page: str) -> list[Block]:
     """The text blocks of a page in order; those without any text are left out."""
     out: list[Block] = []
     pieces: list[tuple[str, bool]] = []
-    open_: list[tuple[str, tuple[int, int], int]] = []  # containers: tag, article, container
+    # Containers and skipped elements: tag, article, container, link, blocks before it.
+    open_: list[tuple[str, tuple[int, int], int, bool, int]] = []
+    n_open: Counter[str] = Counter()
     around, firm = [0], [False]
     article, container, link = (0, 0), 0, False
     label: bool | None = None
@@ -201,6 +214,13 @@ def blocks(page: str) -> list[Block]:
                 stop = ENDS[tag].search(page, at)
                 at = stop.end() if stop else (size if tag != "head" else at)
             continue
+        if tag == "annotation":  # a formula once more, as source text
+            if not closes and (stop := ANNOTATION.match(page, at)):
+                at = stop.end()
+            continue
+        if tag in MATH:
+            pieces.append((" ", link))
+            continue
         if tag == "a":
             link = not closes
         if tag in INLINE:
@@ -208,9 +228,14 @@ def blocks(page: str) -> list[Block]:
         end_block()
         if tag in VOID:
             continue
-        if tag in CONTAINERS:
+        if tag in SKIPPED and not closes:
+            if not found["rest"].endswith("/"):
+                open_.append((tag, article, container, link, len(out)))
+                n_open[tag] += 1
+        elif tag in CONTAINERS or tag in SKIPPED:
             if not closes:
-                open_.append((tag, article, container))
+                open_.append((tag, article, container, False, 0))
+                n_open[tag] += 1
                 names = _names(found["rest"])
                 marked = _marked(tag, names, article[0] > 0)
                 if marked:
@@ -221,12 +246,14 @@ def blocks(page: str) -> list[Block]:
                 if kind > article[0] and not marked:
                     article = (kind, container)
                 link = False
-            else:
+            elif n_open[tag]:
                 for k in range(len(open_) - 1, -1, -1):
                     if open_[k][0] == tag:
-                        _, article, container = open_[k]
+                        _, article, container, link, before = open_[k]
+                        n_open.subtract(entry[0] for entry in open_[k:])
                         del open_[k:]
-                        link = False
+                        if tag in SKIPPED:
+                            del out[before:]
                         break
     end_block()
     _place(out, around, firm)

@@ -92,3 +92,30 @@ def test_comments_beside_articles_go_however_they_are_wrapped():
         assert h.main_text(page, TREE) == " ".join(["Title", *["word"] * 40]), page
     short = f"<article><h1>Title</h1><p>Short.</article><footer>{BODY}</footer><div class=comments><p>{BODY}</div>"
     assert h.main_text(short, TREE) == "Title Short."
+
+
+def test_unclosed_elements_do_not_take_the_rest_of_the_page():
+    article = f"<article><h1>Title</h1><p>{BODY}<p>End.</article>"
+    text = " ".join(["Title", *["word"] * 40, "End."])
+    for tag in sorted(h.SKIPPED):
+        for page in (
+            f"<div><{tag}></div>{article}",
+            f"<{tag} class=x>{article}",
+            f"<div><{tag}></div>{article}<div><{tag}>no</{tag}></div>",
+            f"<div><{tag}>{article}<{tag}>no</{tag}></div>",
+            f"<article><h1>Title</h1><{tag}/><p>{BODY}<{tag}><p>no</p><div>no</div></{tag}><p>End.</article>",
+        ):
+            assert h.main_text(page, TREE) == text, page
+    for tag in ("script", "style", "title", "textarea"):
+        assert h.main_text(f"{article}<{tag}>no <p>{BODY}", TREE) == text
+    assert h.main_text("<article><p>a <a href=/x>b <svg><a>no</a></svg>c</a> d</article>", TREE) == "a b c d"
+
+
+def test_formulas_keep_their_text():
+    formula = (
+        "<math><semantics><mrow><mi>E</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac></mrow>"
+        "<annotation encoding='application/x-tex'>E=no</annotation>"
+        "<annotation-xml><p>no</p></annotation-xml></semantics></math>"
+    )
+    page = f"<article><p>{BODY}so {formula} holds<p>and <math><mi>x</mi> here.</article>"
+    assert h.main_text(page, TREE) == " ".join([*["word"] * 40, "so E = 1 2 holds and x here."])
