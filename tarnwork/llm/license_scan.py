@@ -115,8 +115,8 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     def blanks(text: Column) -> Column:
         return (F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))).cast("long")
 
-    first = F.substring("_line", F.lit(1), F.regexp_instr("_line", F.lit(any_phrase)) - 1)
-    last = F.regexp_extract("_line", f"^(.*){any_phrase}", 1)
+    first = F.get(F.split("_line", any_phrase, 2), F.lit(0))
+    last = F.regexp_extract("_line", f"(?s)^(.*){any_phrase}", 1)
     found = F.col("n_base") > 0
     labels = F.array(
         *(F.when(F.contains("_line", F.lit(f" {p} ")), F.lit(label)) for p, label in PHRASES.items())

@@ -29,6 +29,17 @@ def test_phrases_equal_brute_force(documents, sample, edges):
         assert 0 <= r["score"] <= 1
 
 
+def test_phrases_after_characters_that_dots_and_units_miscount(documents):
+    odd = [f"{x} a{x}b mit license c{x} d {x} cc by {x}" for x in ("\U0001F600", "\x85", "\u2028", "\u2029")]
+    rows = list(enumerate([*odd, "\U0001F600 a mit license", "a b\u2028x c mit license x", "a\r\nb mit license"]))
+    texts = dict(rows)
+    got = s.phrase_places(documents(rows)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        found = (r["n_words"], r["n_base"], r["first_word"], r["last_word"])
+        assert found == brute(texts[r["doc_id"]])[:4], texts[r["doc_id"]]
+
+
 def test_license_texts_are_found_with_insertions_and_not_in_part(documents):
     mit = s.TEMPLATES["mit"][1]
     words = mit.split()
