@@ -4,7 +4,8 @@ All rolling four-word hashes of all texts are joined to the positions that the s
 words have in templates. A match votes for its diagonal, the difference of the two
 positions; a copied passage puts all its votes on one. Diagonals a few words apart, as
 inserted or dropped words make them, are merged, and a merged run of votes is a span if it
-covers enough of its template and is dense enough in the document.
+covers enough of its template, is dense enough in the document, and holds the words that
+tell the template from other licenses (``TELLING``).
 
 Everything is DataFrame expressions and joins. Only matches leave the tasks that read
 texts, at most one per word and template position. The template side has ``GRAMS_BOUND`` rows
@@ -16,6 +17,8 @@ get the same result each. An empty table gives no rows.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -82,6 +85,15 @@ TEMPLATES = {
         "disclaimer.",
     ),
 }
+#: Words, ``K`` at most, that every span of a label's template must hold if the template does.
+TELLING = {
+    "mit": ("above copyright notice",),
+    "apache-2.0": ("apache license", "2 0"),
+    "gpl-3.0": ("gnu general public license", "version 3"),
+    "cc-by-nc-4.0": ("by nc 4 0",),
+    "cc-by-4.0": ("by 4 0", "attribution 4 0"),
+    "cc-by-sa-4.0": ("by sa 4 0", "attribution sharealike 4 0"),
+}
 
 
 def license_words(text: Column) -> Column:
@@ -132,11 +144,34 @@ def phrase_places(docs: DataFrame) -> DataFrame:
     )
 
 
+def _numbered(templates: dict[str, tuple[str, ...]]) -> list[tuple[int, str, str]]:
+    """Number, label and text of every template."""
+    pairs = [(label, text) for label, texts in templates.items() for text in texts]
+    return [(i, label, text) for i, (label, text) in enumerate(pairs)]
+
+
+def _told(template: Column, ats: Column, templates: dict[str, tuple[str, ...]]) -> Column:
+    """Whether matches at ``ats`` hold, each in one match, all telling words of a template."""
+    told = F.lit(True)
+    for i, label, text in _numbered(templates):
+        words = [w for w in re.split(SEPARATORS, text.lower()) if w]
+        for key in map(str.split, TELLING.get(label, ())):
+            n = len(key)
+            grams = {
+                at
+                for p in range(len(words) - n + 1)
+                if words[p : p + n] == key
+                for at in range(max(0, p + n - K), min(p, len(words) - K) + 1)
+            }
+            if grams:
+                held = F.arrays_overlap(ats, F.array(*map(F.lit, sorted(grams))))
+                told = told & ((template != i) | held)
+    return told
+
+
 def template_grams(spark, templates: dict[str, tuple[str, ...]]) -> DataFrame:
     """``gram``, ``template`` (number), ``label``, ``at`` and ``total`` (grams of it)."""
-    rows = [(i, label, text) for i, (label, text) in enumerate(
-        (label, text) for label, texts in templates.items() for text in texts
-    )]
+    rows = _numbered(templates)
     if sum(len(text.split()) for _, _, text in rows) > GRAMS_BOUND:
         raise ValueError("templates are too long to be broadcast")
     texts = spark.createDataFrame(rows, "template int, label string, text string")
@@ -176,13 +211,15 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPL
         F.coalesce((F.col("diagonal") - F.lag("diagonal").over(own) > NEAR).cast("int"), F.lit(1)),
     ).withColumn("_run", F.sum("_new").over(own))
     spans = runs.groupBy("doc_id", "h", "template", "label", "total", "_run").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"),
+        F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"),
         F.min("low").alias("start"),
         (F.max("high") + K).alias("end"),
     )
-    score = F.col("matched") / F.col("total")
-    dense = F.col("matched") >= DENSE * (F.col("end") - F.col("start") - (K - 1))
-    return spans.where((score >= COVERED) & dense).select(
+    matched = F.size("ats")
+    score = matched / F.col("total")
+    dense = matched >= DENSE * (F.col("end") - F.col("start") - (K - 1))
+    told = _told(F.col("template"), F.col("ats"), templates)
+    return spans.where((score >= COVERED) & dense & told).select(
         "doc_id", "h", "label", "start", "end", score.alias("score")
     )
 

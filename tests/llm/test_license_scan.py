@@ -55,3 +55,33 @@ def test_license_texts_are_found_with_insertions_and_not_in_part(documents):
     spans = s.license_spans(docs).where("doc_id = 4").orderBy("start").collect()
     assert len(spans) == 3
     assert s.licenses(docs.where(F.lit(False))).count() == 0
+
+
+def test_neighbouring_licenses_are_told_apart(documents):
+    cc = "This work is licensed under a Creative Commons {} International License."
+    work, program = s.TEMPLATES["gpl-3.0"]
+    apache, apache_long = s.TEMPLATES["apache-2.0"]
+    mit = s.TEMPLATES["mit"][1]
+    own = [(text, label) for label, texts in s.TEMPLATES.items() for text in texts]
+    others = [
+        cc.format("Attribution-NonCommercial-NoDerivatives 4.0"), cc.format("Attribution-NonCommercial 4.0"),
+        cc.format("Attribution-NonCommercial-ShareAlike 4.0"), cc.format("Attribution-NoDerivatives 4.0"),
+        cc.format("Attribution 3.0"), cc.format("Attribution-ShareAlike 3.0"),
+        "Licensed under CC BY 4.1.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY-SA 4.1.",
+        program.replace("version 3", "version 2"), work.replace("version 3", "version 2"),
+        program.replace("General", "Lesser General"), work.replace("General", "Affero General"),
+        apache.replace("2.0", "1.1"), apache_long.replace("Apache License", "Educational Community License").replace("LICENSE", "ECL"),
+        mit.split(", subject to")[0],
+    ]
+    changed = [
+        (f"Note: {program.replace('any later', 'a later')} End.", "gpl-3.0"), (cc.format("Attribution 4.0").replace("This work", "All work"), "cc-by-4.0"),
+        (apache_long.replace("License, Version 2.0", "License 2.0"), "apache-2.0"), (work.replace("version 3", "version 3 or later"), "gpl-3.0"),
+    ]
+    rows = [*own, *changed, *((text, "") for text in others)]
+    got = s.licenses(documents([(i, text) for i, (text, _) in enumerate(rows)])).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        more = set(filter(None, r["labels"].split(","))) - set(r["base_labels"].split(","))
+        label = rows[r["doc_id"]][1]
+        assert more == {label} - set(r["base_labels"].split(",")) - {""}, rows[r["doc_id"]]
+        assert label or r["score"] == (0.5 if r["n_base"] else 0), rows[r["doc_id"]]
