@@ -63,3 +63,14 @@ def test_copies_ties_and_vectors_that_take_no_part(spark):
     few = spark.createDataFrame([(50, [1.0, 2.0]), (51, [2.0, 1.0])], "vec_id long, embedding array<double>")
     assert [i for i, _ in found(few, 50, 5)[50]] == [51]
     assert m.nearest(vectors.where("vec_id = 650"), 50, 5).count() == 0
+
+
+def test_recall_of_the_default_on_64_dimensions(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, v) for i, v in enumerate(rng.normal(size=(12_000, 64)).tolist())]
+    assert len(rows) > m.LEAST / m.SHARE  # not searched whole
+    got = found(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), 50, 5)
+    right = brute(rows, 50, 5)
+    assert got.keys() == right.keys()
+    hits = sum(len({i for i, _ in got[q]} & {i for i, _ in right[q]}) for q in right)
+    assert hits >= 0.94 * 5 * len(right)
