@@ -1,9 +1,9 @@
 """Secret scan: known forms, and random-looking tokens by a battery of tests.
 
-Known forms are found by pattern. For the rest, tokens of 20 characters or more with a
-letter and a digit are candidates. Each gets the narrowest encoding it fits (hex, base32,
-letters and digits of one or both cases, base64), and its characters' places in that
-alphabet are tested:
+Known forms are found by pattern. For the rest, tokens of 16 characters or more are
+candidates. Each gets the narrowest encoding it fits (digits, hex, letters, base32, letters
+and digits of one or both cases, base64), and its characters' places in that alphabet are
+tested:
 
 - chi-squared against a uniform alphabet,
 - runs above and below the alphabet's middle,
@@ -12,7 +12,8 @@ alphabet are tested:
 A token is random-looking if, corrected for three tests, none speaks against it. Short
 text may look random by chance, so the same chi-squared is held against what ordinary
 text of that length would give; the lower tail is the token's p-value. Within each class
-of lengths (16 to 31, 32 to 63, ...), Benjamini-Hochberg over all candidates of all
+of lengths (16 to 31, 32 to 63, ...) and of kinds (with a letter and a digit, those under
+20 characters apart, and without), Benjamini-Hochberg over all candidates of all
 documents picks those to report. It reads a histogram of p-values, of at most
 ``MAX_BIN`` + 1 rows per class.
 
@@ -39,7 +40,7 @@ ASSIGN = (
 MIN_ASSIGNED = 12
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_-]{16,}"
 
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 UPPER = LOWER.upper()
@@ -47,11 +48,15 @@ DIGITS = "0123456789"
 #: Encodings from the narrowest on: pattern, alphabet, and the chance that two
 #: characters of ordinary text in that alphabet are equal.
 ENCODINGS = (
+    (r"^[0-9]+$", DIGITS, 0.11),
     (r"^[0-9a-f]+$", DIGITS + "abcdef", 0.11),
     (r"^[0-9A-F]+$", DIGITS + "ABCDEF", 0.11),
+    (r"^[a-z]+$", LOWER, 0.065),
+    (r"^[A-Z]+$", UPPER, 0.065),
     (r"^[A-Z2-7]+$", UPPER + "234567", 0.065),
     (r"^[A-Z0-9]+$", UPPER + DIGITS, 0.06),
     (r"^[a-z0-9]+$", LOWER + DIGITS, 0.06),
+    (r"^[A-Za-z]+$", UPPER + LOWER, 0.055),
     (r"^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS, 0.055),
     (r"^[A-Za-z0-9+/]+$", UPPER + LOWER + DIGITS + "+/", 0.055),
     (r"^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGITS + "-_", 0.055),
@@ -60,6 +65,8 @@ ENCODINGS = (
 #: Share of false ones among the reported, and the level of the battery.
 FALSE_DISCOVERY = 0.05
 BATTERY_LEVEL = 0.003
+#: Added to the class of lengths of mixed tokens under ``SHORT``, and of those not mixed.
+SHORT, OF_SHORT, OF_UNMIXED = 20, 100, 200
 #: p-values are counted in hundredths of their negative decimal logarithm.
 BINS, MAX_BIN = 100, 3000
 
@@ -100,7 +107,7 @@ def _phi(z: Column) -> Column:
 
 
 def _tested(token: Column) -> Column:
-    """``class`` of lengths and ``bin`` of the p-value; bin 0 for tokens that fail."""
+    """``class`` of lengths and kind, and ``bin`` of the p-value; bin 0 for tokens that fail."""
     n = F.length(token).cast("double")
     last = len(ENCODINGS) - 1
 
@@ -110,6 +117,8 @@ def _tested(token: Column) -> Column:
             out = F.when(token.rlike(pattern), F.lit(value)).otherwise(out)
         return out
 
+    mixed = token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    kind = F.when(~mixed, OF_UNMIXED).when(n < SHORT, OF_SHORT).otherwise(0)
     alphabet = chosen([a for _, a, _ in ENCODINGS])
     repeat = chosen([r for _, _, r in ENCODINGS])
 
@@ -148,7 +157,7 @@ def _tested(token: Column) -> Column:
         p = _phi((chi - df - excess) / F.sqrt(2 * (df + 2 * excess)))
         bin_ = F.least(F.floor(-BINS * F.log10(F.greatest(p, F.lit(1e-30)))), F.lit(MAX_BIN))
         return F.struct(
-            F.floor(F.log2(n)).cast("int").alias("class"),
+            (F.floor(F.log2(n)) + kind).cast("int").alias("class"),
             F.when(3 * least >= BATTERY_LEVEL, bin_).otherwise(F.lit(0)).cast("int").alias("bin"),
         )
 
@@ -206,9 +215,6 @@ def scanned(docs: DataFrame, keep: list[Column]) -> DataFrame:
     long_enough = F.filter(
         "_assign", lambda x: F.length(F.regexp_extract(x["match"], ASSIGN, 2)) >= MIN_ASSIGNED
     )
-    mixed = F.filter(
-        "_token", lambda x: x["match"].rlike("[0-9]") & x["match"].rlike("[A-Za-z]")
-    )
     return found.select(
         *names,
         F.sort_array(
@@ -219,14 +225,14 @@ def scanned(docs: DataFrame, keep: list[Column]) -> DataFrame:
             )
         ).alias("base"),
         F.transform(
-            mixed,
+            "_token",
             lambda x: F.struct(x["start"], x["end"], _tested(x["match"]).alias("test")),
         ).alias("candidates"),
     )
 
 
 def discoveries(scans: DataFrame, share: float = FALSE_DISCOVERY) -> dict[int, int]:
-    """Length class -> the bin from which its candidates are reported."""
+    """Class -> the bin from which its candidates are reported."""
     counts: dict[int, dict[int, int]] = {}
     rows = (
         scans.select(F.explode("candidates.test").alias("test"))

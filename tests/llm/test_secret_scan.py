@@ -61,3 +61,16 @@ def test_redacted_texts(documents, edges):
     before = {r["doc_id"]: r for r in docs.collect()}
     assert all(rows[i] == before[i] for i in rows if i != 1)
     assert s.redact(docs.where(F.lit(False))).count() == 0
+
+
+def test_letter_only_and_short_tokens_are_tested_too(documents):
+    def letters(seed):
+        return "".join(random.Random(seed).choices(string.ascii_letters, k=44))
+
+    secret = [(i, f"see {letters(i)} there") for i in range(40)] + [(50 + i, f"see {token(i, 18)} there") for i in range(40)]
+    plain = [(100, "internationalizationandlocalization"), (101, "InternationalizationAndLocalization"), (102, "straightforwardness"), (103, "4111-1111-1111-1111")]
+    got = s.find_secrets(documents([*secret, *plain])).select("doc_id", s.listed(F.col("spans")).alias("spans")).collect()
+    spans = {r["doc_id"]: r["spans"] for r in got}
+    assert sum(spans[i] == "random:4:48" for i in range(40)) >= 36
+    assert sum(spans[i] == "random:4:22" for i in range(50, 90)) >= 30
+    assert not any("random" in spans[i] for i, _ in plain)
