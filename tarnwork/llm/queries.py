@@ -16,6 +16,7 @@ from tarnwork.llm import (
     packing,
     quality_rules,
     secret_scan,
+    simhash,
     token_store,
     warc_zstd,
 )
@@ -110,6 +111,11 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Query name -> callable of (spark, sf_dir)."""
     return {
@@ -123,6 +129,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_token_ids": op10_token_ids,
+        "op13_simhash": op13_simhash,
     }
 
 
