@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tarnwork.llm import (
     byte_bpe,
+    divergence,
     html_blocks,
     license_scan,
     multi_index,
@@ -111,6 +112,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
@@ -129,6 +134,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_token_ids": op10_token_ids,
+        "op12_source_divergence": op12_source_divergence,
         "op13_simhash": op13_simhash,
     }
 
@@ -139,7 +145,11 @@ def oracle_sql() -> dict[str, str]:
     The others have parts that SQL cannot express: learned rules and trees, an
     approximate index, tokenizers, packing, statistics of tokens, the method's own labels.
     """
-    return {"op2_warc": _WARC_SQL, "op8_near_dedup": _NEAR_DEDUP_SQL}
+    return {
+        "op2_warc": _WARC_SQL,
+        "op8_near_dedup": _NEAR_DEDUP_SQL,
+        "op12_source_divergence": _DIVERGENCE_SQL,
+    }
 
 
 #: SHA-1 comes as 40 hex digits; each five of them are four digits of base 32.
@@ -194,3 +204,53 @@ _NEAR_DEDUP_SQL = r"""
     FROM sizes s JOIN reach r ON r.doc_id = s.doc_id
     GROUP BY s.doc_id, s.n
 """
+
+_DIVERGENCE_SQL = r"""
+    WITH d AS (
+        SELECT row_number() OVER () AS id, coalesce(text, '') AS text,
+               coalesce(lang, '') AS lang, coalesce(source, '') AS source
+        FROM documents
+    ), t AS MATERIALIZED (
+        SELECT id, lang, source, unnest(regexp_extract_all(
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM d
+    ), kept AS MATERIALIZED (
+        SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT id) >= 10
+    ), langs AS (
+        SELECT lang, CAST(count(*) AS HUGEINT) AS v, CAST(sum(n) AS HUGEINT) AS total
+        FROM kept GROUP BY lang
+    ), cells AS MATERIALIZED (
+        SELECT t.lang, t.source, t.term, count(*) AS n
+        FROM t SEMI JOIN kept k ON k.lang = t.lang AND k.term = t.term
+        GROUP BY t.lang, t.source, t.term
+    ), g AS MATERIALIZED (
+        SELECT x.lang, x.source, coalesce(sum(c.n), 0) AS total
+        FROM (SELECT DISTINCT lang, source FROM d) x
+        LEFT JOIN cells c ON c.lang = x.lang AND c.source = x.source
+        GROUP BY x.lang, x.source
+    ), p AS MATERIALIZED (
+        SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+               1 + 1000000000 * (coalesce(c.n, 0) + 2) // (g.total + 2 * l.v) AS p,
+               1 + 1000000000 * (k.n + 2) // (l.total + 2 * l.v) AS q
+        FROM g JOIN kept k ON k.lang = g.lang JOIN langs l ON l.lang = g.lang
+        LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+    ), sums AS (
+        SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+        FROM p a JOIN p b ON b.lang = a.lang AND b.term = a.term AND b.source != a.source
+        GROUP BY a.lang, a.source, b.source
+    ), pairs AS (
+        SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(s.value, 0) AS value
+        FROM g a JOIN g b ON b.lang = a.lang AND b.source != a.source
+        LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+    ), terms AS (
+        SELECT lang, source, 'term' AS part, term AS item, (p - q) * (p - q) // (p + q) AS value
+        FROM p WHERE n > 0 AND p > q
+    ), ranked AS (
+        SELECT *, row_number() OVER (
+            PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+        FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+    )
+    SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INT) AS rank
+    FROM ranked WHERE part = 'pair' OR rank <= 10
+"""

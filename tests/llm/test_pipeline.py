@@ -10,7 +10,7 @@ from tests.llm.conftest import SF
 
 def test_every_query_is_registered():
     names = set(__spark_entry__.queries())
-    assert {f"op{n}_" for n in range(1, 11)} <= {x.split("_")[0] + "_" for x in names}
+    assert {f"op{n}_" for n in range(1, 14)} <= {x.split("_")[0] + "_" for x in names}
     assert "pipeline" in names and set(oracle_sql()) <= names
 
 
@@ -29,7 +29,7 @@ def test_pipeline_is_its_stages_one_after_another(spark):
     assert [name for name, _ in corpus_pipeline.STAGES][1] == "near-dedup" and len(corpus_pipeline.STAGES) == 4
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op8_near_dedup"])
+@pytest.mark.parametrize("name", ["op2_warc", "op8_near_dedup", "op12_source_divergence"])
 def test_sql_gives_the_same_rows(spark, name):
     con = duckdb.connect()
     for table in ("documents", "pages"):
