@@ -90,11 +90,16 @@ class ChunkCoder:
     """Encodes batches of texts; ``encode`` maps distinct chunks to lists of ids.
 
     ``fold`` lets chunks that differ in the case of A-Z share their ids, for
-    vocabularies that lower-case.
+    vocabularies that lower-case. ``cut`` says where chunks start.
     """
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], fold: bool = False):
-        self.encode, self.fold = encode, fold
+    def __init__(
+        self,
+        encode: Callable[[list[str]], list[list[int]]],
+        fold: bool = False,
+        cut: Callable[[np.ndarray, np.ndarray], np.ndarray] = cut,
+    ):
+        self.encode, self.fold, self.cut = encode, fold, cut
         self._forget()
 
     def _forget(self) -> None:
@@ -149,7 +154,7 @@ class ChunkCoder:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         if self.fold:
             data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
-        first = cut(data, at[:-1][at[:-1] < len(data)])
+        first = self.cut(data, at[:-1][at[:-1] < len(data)])
         offsets = np.append(first, len(data)).astype(np.int32)
         chunks = pa.StringArray.from_buffers(
             len(first), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tarnwork.llm import (
+    alignment,
     byte_bpe,
     divergence,
     html_blocks,
@@ -112,6 +113,15 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = alignment.alignment(
+        docs, vocabulary("byte_bpe_50k.json"), vocabulary("piece_bpe_32k.model")
+    )
+    figures = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+    return found.select("doc_id", *figures)
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(_table(spark, sf_dir, "documents"))
 
@@ -134,6 +144,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_near_dedup": op8_near_dedup,
         "op9_license_scan": op9_license_scan,
         "op10_token_ids": op10_token_ids,
+        "op11_token_alignment": op11_token_alignment,
         "op12_source_divergence": op12_source_divergence,
         "op13_simhash": op13_simhash,
     }
