@@ -33,6 +33,28 @@ def written(df: DataFrame, kind: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def hash_cut(hashes: DataFrame, n: int) -> int | None:
+    """The ``n``-th smallest distinct value of the one column of ``hashes``, 64-bit hashes;
+    null if there are fewer.
+
+    Rows are counted first, and only hashes below a bound that some 2 ``n`` rows are
+    expected under leave their tasks, each value once per task. So what travels follows
+    ``n``, not the number of tasks. If rows are repeated too often for that, the bound is raised.
+    """
+    (name,) = hashes.columns
+    expected = 2 * n
+    total = hashes.count()
+    while True:
+        bound = -(2**63) + 2**64 * expected // max(total, 1)
+        within = hashes.where(F.col(name) < bound) if bound < 2**63 else hashes.where(f"`{name}` is not null")
+        found = within.distinct().orderBy(name).limit(n).collect()
+        if len(found) == n:
+            return found[-1][0]
+        if bound >= 2**63:
+            return None
+        expected *= 8
+
+
 def held_back(df: DataFrame) -> DataFrame:
     """``df`` such that no later filter moves below it.
 

@@ -3,9 +3,11 @@
 Vectors are scaled to length one and cut in two halves; each half has a codebook of
 centroids of its own, fitted by k-means on a bounded sample. A vector's cell is its pair of
 nearest centroids. A query goes through the pairs in the order of their summed distances,
-by a heap, until their cells hold a given share of all vectors; the vectors of these cells
-are then ranked by their exact cosines. Vectors without any clusters, as random ones in many
-dimensions, need a large share for a good recall; the default is made for those.
+by a heap, until their cells hold a certain share of all vectors; the vectors of these cells
+are then ranked by their cosines: a matrix product finds those that can be among the
+nearest, and one formula, the same for every pair, ranks them. The share is measured: of vectors of the sample,
+the nearest in the sample are found by comparing all, and the share is what holds ``RECALL``
+of them. Clustered vectors need a small one, random ones in many dimensions half or more.
 
 All vectors are in the index. Of equal vectors only the ``k`` + 1 with the smallest ids
 are: no others can be among ``k`` nearest, where ties go to the smaller id. Equal queries are
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.llm.common import written
+from tarnwork.llm.common import hash_cut, written
 
 #: Vectors that the codebooks are fitted on at most.
 SAMPLE = 20_000
@@ -37,8 +39,13 @@ SAMPLE = 20_000
 ROUNDS = 12
 #: Centroids per half at most; cells are their pairs.
 CENTROIDS = 64
-#: Share of the index that a query's cells hold, and how many vectors at least.
-SHARE, LEAST = 0.5, 3_000
+#: Share of the nearest that the cells of a query must hold, and of how many vectors of the
+#: sample that is measured.
+RECALL, MEASURED = 0.96, 400
+#: By how much a matrix product may miss a cosine.
+ROUNDING = 1e-9
+#: Queries that one task probes for, on average.
+PROBED = 200
 #: Vectors, and queries, of a first centroid that are compared at once.
 PART = 2_000
 
@@ -66,12 +73,14 @@ class Codebooks:
     def __init__(self, sample: np.ndarray, centroids: int):
         self.size = sample.shape[1]
         self.half = self.size // 2
-        unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
+        unit = scaled(sample)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         self.first = kmeans(unit[:, : self.half], centroids)
         self.second = kmeans(unit[:, self.half :], centroids)
 
     def distances(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        unit = scaled(vectors)
+        unit /= np.linalg.norm(unit, axis=1, keepdims=True)
         return (
             _distances(unit[:, : self.half], self.first),
             _distances(unit[:, self.half :], self.second),
@@ -82,6 +91,29 @@ class Codebooks:
         return first.argmin(1) * len(self.second) + second.argmin(1)
 
 
+def share_for(books: Codebooks, points: np.ndarray, k: int, recall: float) -> float:
+    """The share of the vectors that a query's first cells must hold, for ``recall`` of the
+    ``k`` nearest of the sample ``points`` to be in them."""
+    unit = scaled(points)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    asking = unit[:MEASURED]
+    cells = books.cells(points)
+    counts = np.bincount(cells, minlength=len(books.first) * len(books.second))
+    scores = asking @ unit.T
+    scores[np.arange(len(asking)), np.arange(len(asking))] = -np.inf
+    most = min(k, len(points) - 1)
+    if most < 1:
+        return 1.0
+    near = np.argpartition(-scores, most - 1, axis=1)[:, :most]
+    needed = []
+    for i, (first, second) in enumerate(zip(*books.distances(points[:MEASURED]), strict=True)):
+        order = np.argsort((first[:, None] + second).ravel(), kind="stable")
+        seen = np.empty(len(order))
+        seen[order] = np.cumsum(counts[order])
+        needed.append(seen[cells[near[i]]])
+    return float(np.quantile(np.concatenate(needed), recall, method="higher")) / len(points)
+
+
 def traverse(first: np.ndarray, second: np.ndarray) -> Iterator[int]:
     """All cells, by the sum of their two distances from a query.
 
@@ -105,6 +137,28 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """The vectors times powers of two that bring their largest parts near one: exact, and
+    no square overflows."""
+    _, exponent = np.frexp(np.abs(vectors).max(1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The cosine of ``a[i]`` and ``b[i]`` for all i, added up part by part.
+
+    Each depends on its two vectors alone, not on those beside them as in a matrix product;
+    that of equal vectors is 1.
+    """
+    a, b = scaled(a), scaled(b)
+    both, of_a, of_b = np.zeros((3, len(a)))
+    for x, y in zip(a.T, b.T, strict=True):
+        both += x * y
+        of_a += x * x
+        of_b += y * y
+    return np.clip(both / np.sqrt(of_a * of_b), -1.0, 1.0)
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """``vec_id`` and ``embedding`` (doubles) of the vectors that can take part."""
     doubles = F.transform("embedding", lambda x: x.cast("double"))
@@ -118,18 +172,21 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(finite & F.exists("embedding", lambda x: x != 0))
 
 
-def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, query_every: int, k: int, share: float | None = None) -> DataFrame:
     """``query_id``, ``rank``, ``vec_id``, ``score`` of the ``k`` nearest found.
 
-    Queries are the vectors whose id is divisible by ``query_every``.
+    Queries are the vectors whose id is divisible by ``query_every``. ``share`` is measured
+    if it is not given.
     """
     spark = vectors.sparkSession
     schema = "query_id long, rank int, vec_id long, score double"
     same = Window.partitionBy("embedding").orderBy("vec_id")
     rows = written(usable(vectors).distinct(), "vectors")
-    sample = (
-        rows.select("embedding").distinct().orderBy(F.xxhash64("embedding")).limit(SAMPLE).collect()
-    )
+    hashed = rows.select(F.xxhash64("embedding").alias("h"), "embedding")
+    cut = hash_cut(hashed.select("h"), SAMPLE)
+    if cut is not None:
+        hashed = hashed.where(F.col("h") <= cut)
+    sample = hashed.groupBy("h").agg(F.min("embedding").alias("embedding")).orderBy("h").collect()
     if not sample:
         return spark.createDataFrame([], schema)
     lengths = [len(r["embedding"]) for r in sample]
@@ -138,6 +195,8 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE)
     # A cell for some four vectors of the sample, as far as the bound goes.
     centroids = min(CENTROIDS, max(1, round((len(points) / 4) ** 0.5)))
     books = Codebooks(points, centroids)
+    if share is None:
+        share = share_for(books, points, k, RECALL)
     rows = rows.where(F.size("embedding") == size)
     held = written(
         rows.withColumn("_nth", F.row_number().over(same)).where(F.col("_nth") <= k + 1).drop("_nth"),
@@ -160,7 +219,7 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE)
         r["first"] * len(books.second) + r["second"]: r["count"]
         for r in entries.groupBy("first", "second").count().collect()  # cells
     }
-    enough = max(LEAST, share * sum(counts.values()))
+    enough = max(share * sum(counts.values()), k + 1)
     asking = rows.where(F.col("vec_id") % query_every == 0)
     keys = asking.groupBy("embedding").agg(F.min("vec_id").alias("key"))
     queries = written(
@@ -197,6 +256,8 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE)
             )
 
     once = queries.where("vec_id = key").select("key", "embedding")
+    # A query file may be one small split, but probing it is work.
+    once = once.repartition(max(1, min(keys.count() // PROBED, 10_000)), "key")
     probes = written(
         once.mapInArrow(probe, "key long, embedding array<double>, first int, seconds array<int>"),
         "probes",
@@ -221,8 +282,8 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE)
         kinds = pa.schema([("key", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
         if not len(left) or not len(right):
             return kinds.empty_table()
-        q = _matrix(left.column("embedding").combine_chunks())
-        e = _matrix(right.column("embedding").combine_chunks())
+        whole = [_matrix(side.column("embedding").combine_chunks()) for side in (left, right)]
+        q, e = (scaled(x) for x in whole)
         q, e = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in (q, e))
         keys, ids = left.column("key").to_numpy(), right.column("vec_id").to_numpy()
         cell = right.column("second").to_numpy()
@@ -237,9 +298,10 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float = SHARE)
         bound = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most]
         found = []
         for i in range(len(keys)):
-            at = np.flatnonzero((scores[i] >= bound[i]) & (scores[i] > -np.inf))
-            at = at[np.lexsort((ids[at], -scores[i][at]))[:most]]
-            found.append((np.full(len(at), keys[i]), ids[at], scores[i][at]))
+            at = np.flatnonzero((scores[i] >= bound[i] - ROUNDING) & (scores[i] > -np.inf))
+            exact = cosines(np.broadcast_to(whole[0][i], (len(at), whole[0].shape[1])), whole[1][at])
+            best = np.lexsort((ids[at], -exact))[:most]
+            found.append((np.full(len(best), keys[i]), ids[at[best]], exact[best]))
         return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], schema=kinds)
 
     at = ["first", "p_e", "p_q"]

@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import BLANKS, count_of, held_back, words, written
+from tarnwork.llm.common import BLANKS, count_of, hash_cut, held_back, words, written
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -191,13 +191,23 @@ def labelled_statistics(docs: DataFrame, labels: DataFrame, max_labelled: int) -
     """Statistics and ``bad`` (quality 0) of at most ``max_labelled`` labelled documents.
 
     Of more labels, those with the smallest hashes of ``doc_id`` count. Their bound is
-    that of the broadcast.
+    that of the broadcast. A label given many times is counted before it travels.
     """
+    usable = labels.where("doc_id is not null and quality is not null").select(
+        F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_bad")
+    )
+    cut = hash_cut(usable.select(F.xxhash64("_id").alias("h")), max_labelled)
+    if cut is not None:
+        usable = usable.where(F.xxhash64("_id") <= cut)
+    times = F.least(F.count("*"), F.lit(max_labelled)).cast("int")
     sample = (
-        labels.where("doc_id is not null and quality is not null")
-        .select(F.col("doc_id").alias("_id"), (F.col("quality") == 0).alias("_bad"))
+        usable.groupBy("_id", "_bad")
+        .agg(times.alias("_times"))
         .orderBy(F.xxhash64("_id"), "_id", "_bad")
         .limit(max_labelled)
+        .select("_id", "_bad", F.explode(F.sequence(F.lit(1), "_times")))
+        .select("_id", "_bad")
+        .limit(max_labelled)
     )
     rows = docs.select(F.col("doc_id").alias("_id"), "text").join(F.broadcast(sample), "_id")
     found = with_statistics(rows, [F.col("_id"), F.col("_bad")])

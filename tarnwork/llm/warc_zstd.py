@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tarnwork.llm.common import shared_folder, written
+from tarnwork.llm.common import hash_cut, shared_folder, written
 from tarnwork.llm.store import read_file, write_file
 
 SKIPPABLE, FRAME = 0x184D2A5D, 0xFD2FB528
@@ -180,16 +180,22 @@ def records(data: bytes) -> Iterator[bytes]:
 
 
 def train(pages: DataFrame) -> bytes:
-    """A dictionary from at most ``SAMPLE_PAGES`` starts of pages; empty if they are few."""
+    """A dictionary from at most ``SAMPLE_PAGES`` starts of pages; empty if they are few.
+
+    Pages are chosen by the hashes of number and url, which is all that is read to choose
+    them; only the chosen ones' starts travel.
+    """
+    h = F.xxhash64("page_id", "url").alias("h")
+    cut = hash_cut(pages.select(h), SAMPLE_PAGES)
+    chosen = pages if cut is None else pages.where(h <= cut)
     sample = (
-        pages.where("html is not null and html != ''")
-        .select(F.xxhash64("html").alias("h"), F.substring("html", 1, SAMPLE_BYTES).alias("start"))
-        .orderBy("h", "start")
-        .limit(SAMPLE_PAGES)
+        chosen.groupBy(h)
+        .agg(F.min(F.substring("html", 1, SAMPLE_BYTES)).alias("start"))
+        .orderBy("h")
         .collect()
     )
     try:
-        starts = [row["start"].encode() for row in sample]
+        starts = [row["start"].encode() for row in sample if row["start"]]
         return zstandard.train_dictionary(DICTIONARY_BYTES, starts).as_bytes()
     except zstandard.ZstdError:  # too little to learn from
         return b""
