@@ -42,9 +42,9 @@ SCALE_STEPS = 3  # p is in thousandths of thousandths of thousandths
 #: Bytes of text that are sorted at once.
 SHARD_BYTES = 8_000_000
 #: Pointers that are left to the library's sort.
-SMALL = 4096
+SMALL = 50_000
 #: Sources in a block, and cells (term and source) in a bucket, on average.
-BLOCK, BUCKET = 256, 400_000
+BLOCK, BUCKET = 256, 50_000
 #: Terms of a tile that are compared at once.
 TERMS = 512
 
@@ -81,52 +81,54 @@ def sorted_pointers(
     """Numbers of the words in the order of their bytes, equal words in text order, and
     where in that order a new word begins.
 
-    Multikey quicksort on eight bytes at a time.
+    Multikey quicksort on eight bytes at a time. Ranges of more than ``SMALL`` pointers are
+    split about a pivot; the small ones of a depth are left to the library's sort together.
     """
     order = np.arange(len(starts))
-    new = np.zeros(len(starts), bool)
-    todo = [(0, len(starts), 0)]  # a depth below 0: the keys of that depth are at hand
+    new = np.zeros(len(starts) + 1, bool)
+    new[[0, -1]] = True
     keys = np.zeros(len(starts), np.uint64)
-    while todo:
-        low, high, depth = todo.pop()
-        if low == high:
-            continue
-        own = order[low:high]
-        if depth < 0:
-            depth = -depth - 1
-        else:
-            keys[low:high] = _eight(data, starts[own] + 8 * depth, lengths[own] - 8 * depth)
-        key = keys[low:high]
-        if high - low > SMALL:
-            probe = np.sort(key[:: max(1, (high - low) // 9)])
-            pivot = probe[len(probe) // 2]
-            less, more = key < pivot, key > pivot
-            same = ~(less | more)
-            parts = [np.flatnonzero(x) for x in (less, same, more)]
+    lows, highs, depth = np.array([0]), np.array([len(starts)]), 0
+    while len(lows):
+        at = np.repeat(lows - np.cumsum(highs - lows) + (highs - lows), highs - lows) + np.arange((highs - lows).sum())
+        own = order[at]
+        keys[at] = _eight(data, starts[own] + 8 * depth, lengths[own] - 8 * depth)
+        large = highs - lows > SMALL
+        todo = list(zip(lows[large].tolist(), highs[large].tolist(), strict=True))
+        small = [(lows[~large], highs[~large])]
+        equal = []
+        while todo:
+            low, high = todo.pop()
+            if high - low <= SMALL:
+                small.append((np.array([low]), np.array([high])))
+                continue
+            key, own = keys[low:high], order[low:high]
+            pivot = np.sort(key[:: (high - low) // 9])[4]
+            parts = [np.flatnonzero(x) for x in (key < pivot, key == pivot, key > pivot)]
             again = np.concatenate(parts)
             order[low:high], keys[low:high] = own[again], key[again]
-            a, b = low + len(parts[0]), low + len(parts[0]) + len(parts[1])
-            todo += [(low, a, -depth - 1), (b, high, -depth - 1)]
-            equal = [(a, b)]
-        else:
-            again = np.argsort(key, kind="stable")
-            order[low:high], keys[low:high] = own[again], key[again]
-            edges = np.flatnonzero(np.diff(keys[low:high])) + low + 1
-            new[edges] = True
-            ends = np.append(edges, high)
-            equal = list(zip(np.append(low, edges).tolist(), ends.tolist(), strict=True))
-            longer = lengths[order[np.append(low, edges)]] >= 8 * depth + 8
-            single = np.diff(np.append(low, ends)) == 1
-            equal = [equal[i] for i in np.flatnonzero(longer & ~single)]
-        for a, b in equal:
-            new[a] = True
-            if b < len(new):
-                new[b] = True
-            # Of words that end before, the key has a zero byte, so a run is all of one kind.
-            if lengths[order[a]] >= 8 * depth + 8:
-                todo.append((a, b, depth + 1))
-        new[low] = True
-    return order, np.flatnonzero(new)
+            a, b = low + len(parts[0]), high - len(parts[2])
+            new[[a, b]] = True
+            equal.append((a, b))
+            todo += [(low, a), (b, high)]
+        low, high = (np.concatenate(x) for x in zip(*small, strict=True))
+        size = high - low
+        at = np.repeat(low - np.cumsum(size) + size, size) + np.arange(size.sum())
+        key, of = keys[at], np.repeat(np.arange(len(low)), size)
+        again = np.lexsort((key, of))
+        order[at], key = order[at[again]], key[again]
+        # A new run begins with a new range or a new key.
+        edge = np.ones(len(at), bool)
+        edge[1:] = (np.diff(of) > 0) | (key[1:] != key[:-1])
+        first = np.flatnonzero(edge)
+        new[at[first]] = True
+        lows = np.append(at[first], np.array([x for x, _ in equal], int))
+        highs = lows + np.append(np.diff(np.append(first, len(at))), np.array([y - x for x, y in equal], int))
+        depth += 1
+        # The key of a word that ends before has a zero byte, so a run is all of one kind.
+        longer = (highs - lows > 1) & (lengths[order[lows]] >= 8 * depth)
+        lows, highs = lows[longer], highs[longer]
+    return order, np.flatnonzero(new[:-1]) if len(starts) else np.zeros(0, int)
 
 
 def shard_counts(texts: pa.Array, group: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
