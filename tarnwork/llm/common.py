@@ -42,6 +42,8 @@ def hash_cut(hashes: DataFrame, n: int) -> int | None:
     ``n``, not the number of tasks. If rows are repeated too often for that, the bound is raised.
     """
     (name,) = hashes.columns
+    if n < 1:
+        return None
     expected = 2 * n
     total = hashes.count()
     while True:
