@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,13 +15,14 @@ BLANKS = " \t\n\x0b\x0c\r"
 def shared_folder(spark: SparkSession, kind: str) -> str:
     """A new folder, not yet made, that the driver and all executors can reach.
 
-    It lies under ``spark.checkpoint.dir``. Where the session has none (tests), one
-    is made in the machine's temporary folder and set.
+    It lies under ``spark.checkpoint.dir``, which a session is started with.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="tarnwork-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        raise ValueError(
+            "spark.checkpoint.dir is not set: start the session with a folder there that the "
+            "driver and all executors share"
+        )
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
@@ -66,6 +67,60 @@ def held_back(df: DataFrame) -> DataFrame:
     return df.withColumn("_nth", F.monotonically_increasing_id()).where("_nth >= 0").drop("_nth")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of ``value``, which is computed once however often ``use`` has it.
+
+    In a lambda, what is no variable of it is computed again for each element.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+#: Elements that ``running`` adds up one by one.
+RUN = 256
+
+
+def running(
+    items: Column,
+    kind: str,
+    value: Callable[[Column], Column],
+    combine: Callable[[Column, Column], Column],
+    first: Column,
+    neutral: Column,
+    emit: Callable[[Column, Column], Column],
+) -> Column:
+    """An array of ``emit(x, so_far)``, of type ``kind``, for each ``x`` of ``items``.
+
+    ``so_far`` is ``first`` combined with the values of all elements before. An array grows by
+    being copied, so ``items`` are taken in runs of ``RUN``, each from what the runs before
+    come to: the work is in proportion to the number of items.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def step(state: Column, x: Column) -> Column:
+        return F.struct(
+            combine(state["at"], value(x)).alias("at"),
+            F.concat(state["out"], F.array(emit(x, state["at"]))).alias("out"),
+        )
+
+    def in_runs(xs: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(xs) / RUN).cast("int") - 1, F.lit(0))
+        return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(xs, i * RUN + 1, F.lit(RUN)))
+
+    def with_totals(runs: Column) -> Column:
+        totals = F.transform(runs, lambda run: F.aggregate(run, neutral, lambda s, x: combine(s, value(x))))
+        return F.struct(runs.alias("runs"), totals.alias("totals"))
+
+    def finished(held: Column) -> Column:
+        def of(run: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(held["totals"], F.lit(1), i), first, lambda a, b: combine(a, b))
+            begin = F.struct(before.alias("at"), empty.alias("out"))
+            return F.aggregate(run, begin, step, lambda s: s["out"])
+
+        return F.flatten(F.transform(held["runs"], of))
+
+    return bound(items, lambda xs: bound(in_runs(xs), lambda runs: bound(with_totals(runs), finished)))
+
+
 def words(text: Column) -> Column:
     """Maximal runs of characters outside ``BLANKS``; an empty array for null."""
     spaced = F.coalesce(text, F.lit(""))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnwork.llm.common import written
+from tarnwork.llm.common import bound, running, written
 
 #: Span kinds in the order that breaks ties between equal starts.
 KINDS = ("assign", "access", "hex", "random")
@@ -72,29 +72,30 @@ BINS, MAX_BIN = 100, 3000
 
 OPEN, CLOSE, NEUTRAL = "\x01", "\x02", "\x03"
 SPAN = "struct<start:int,kind:int,end:int>"
-FOUND = "array<struct<start:int,end:int,match:string>>"
+FOUND = "struct<start:int,end:int,match:string>"
+#: Code points of a text that are masked at once.
+PIECE = 4096
 
 
 def _found(marked: Column) -> Column:
     """Start, end and text of each part of ``marked`` between ``OPEN`` and ``CLOSE``."""
-    parts = F.split(marked, OPEN)
-    begin = F.struct(
-        F.length(F.get(parts, F.lit(0))).alias("at"), F.array().cast(FOUND).alias("out")
-    )
 
-    def step(state: Column, part: Column) -> Column:
+    def placed(part: Column, at: Column) -> Column:
         match = F.substring_index(part, CLOSE, 1)
-        size = F.length(match)
-        found = F.struct(
-            state["at"].alias("start"), (state["at"] + size).alias("end"), match.alias("match")
-        )
-        return F.struct(
-            (state["at"] + F.length(part) - 1).alias("at"),
-            F.concat(state["out"], F.array(found)).alias("out"),
+        return F.struct(at.alias("start"), (at + F.length(match)).alias("end"), match.alias("match"))
+
+    def of(parts: Column) -> Column:
+        return running(
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            FOUND,
+            lambda part: F.length(part) - 1,
+            lambda a, b: a + b,
+            F.length(F.get(parts, F.lit(0))),
+            F.lit(0),
+            placed,
         )
 
-    rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    return F.aggregate(rest, begin, step, lambda state: state["out"])
+    return bound(F.split(marked, OPEN), of)
 
 
 def _marked(text: Column, pattern: str) -> Column:
@@ -251,26 +252,48 @@ def discoveries(scans: DataFrame, share: float = FALSE_DISCOVERY) -> dict[int, i
     return out
 
 
+def _either(x: Column, kind: Column, class_: Column, bin_: Column) -> Column:
+    return F.struct(
+        x["start"].alias("start"),
+        kind.alias("kind"),
+        x["end"].alias("end"),
+        class_.cast("int").alias("class"),
+        bin_.cast("int").alias("bin"),
+    )
+
+
 def reported(scans: DataFrame, cuts: dict[int, int]) -> DataFrame:
     """``scans`` with ``spans``: the base spans and the random tokens, in order.
 
     A random token inside a base span is not reported again.
     """
-    random = F.col("candidates")
-    if cuts:
-        pairs = [F.lit(x) for pair in sorted(cuts.items()) for x in pair]
-        at = F.create_map(*pairs)
-        random = F.filter(
-            random,
-            lambda c: F.coalesce(
-                c["test"]["bin"] >= F.try_element_at(at, c["test"]["class"]), F.lit(False)
-            )
-            & ~F.exists(
-                F.col("base"), lambda b: (b["start"] <= c["start"]) & (b["end"] >= c["end"])
-            ),
+    at = F.create_map(*(F.lit(x) for pair in sorted(cuts.items()) for x in pair)) if cuts else None
+    # One pass over base spans and candidates in order: a candidate is inside a base span if
+    # one that begins before it ends behind it. At one start, base spans come first.
+    either = F.sort_array(
+        F.concat(
+            F.transform("base", lambda b: _either(b, F.lit(0), F.lit(None), F.lit(None))),
+            F.transform("candidates", lambda c: _either(c, F.lit(1), c["test"]["class"], c["test"]["bin"])),
         )
-    else:
-        random = F.filter(random, lambda c: F.lit(False))
+    )
+    flagged = running(
+        either,
+        "struct<start:int,end:int,class:int,bin:int,out:boolean>",
+        lambda x: F.when(x["kind"] == 0, x["end"]).otherwise(-1),
+        F.greatest,
+        F.lit(-1),
+        F.lit(-1),
+        lambda x, upto: F.struct(
+            x["start"], x["end"], x["class"], x["bin"], ((x["kind"] == 1) & (x["end"] > upto)).alias("out")
+        ),
+    )
+
+    def discovered(c: Column) -> Column:
+        if at is None:
+            return F.lit(False)
+        return c["out"] & F.coalesce(c["bin"] >= F.try_element_at(at, c["class"]), F.lit(False))
+
+    random = F.filter(flagged, discovered)
     added = F.transform(
         random,
         lambda c: F.struct(
@@ -300,20 +323,81 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
 def _merged(spans: Column) -> Column:
     """Spans in order, those that overlap or touch made one."""
-    empty = F.array().cast("array<struct<start:int,end:int>>")
+    kind = "struct<start:int,end:int,before:int>"
+
+    def of(rows: Column) -> Column:
+        # ``before`` is how far the spans before go; a gap to it begins a new one.
+        heads = F.filter(rows, lambda x: x["start"] > x["before"])
+        ends = F.concat(
+            F.transform(F.slice(heads, F.lit(2), F.greatest(F.size(heads) - 1, F.lit(0))), lambda x: x["before"]),
+            F.array(F.array_max(F.transform(rows, lambda x: x["end"]))),
+        )
+        return F.zip_with(
+            heads, ends, lambda x, end: F.struct(x["start"].alias("start"), end.alias("end"))
+        )
+
+    rows = running(
+        spans,
+        kind,
+        lambda x: x["end"],
+        F.greatest,
+        F.lit(-1),
+        F.lit(-1),
+        lambda x, before: F.struct(x["start"], x["end"], before.alias("before")),
+    )
+    return F.when(F.size(spans) > 0, bound(rows, of)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def _cut_out(text: Column, cuts: Column, mask: str) -> Column:
+    """``text`` with each of ``cuts`` (in order, apart) replaced by ``mask``.
+
+    A text is masked piece by piece, as a place in a long text is found by going there from
+    its start. ``upto`` says how many cuts end at or before each piece begins.
+    """
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
 
-    def step(out: Column, s: Column) -> Column:
-        last = F.try_element_at(out, F.lit(-1))
-        wider = F.struct(
-            last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end")
+    def with_cuts(pieces: Column) -> Column:
+        edges = F.transform(
+            F.sequence(F.lit(0), F.size(pieces)), lambda i: F.struct((i * PIECE).alias("at"), F.lit(1).alias("kind"))
         )
-        new = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        return F.when(
-            last.isNotNull() & (s["start"] <= last["end"]),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(wider)),
-        ).otherwise(F.concat(out, F.array(new)))
+        ends = F.transform(cuts, lambda c: F.struct(c["end"].alias("at"), F.lit(0).alias("kind")))
+        counted = running(
+            F.sort_array(F.concat(ends, edges)),
+            "struct<kind:int,n:int>",
+            lambda x: 1 - x["kind"],
+            lambda a, b: a + b,
+            F.lit(0),
+            F.lit(0),
+            lambda x, n: F.struct(x["kind"], n.alias("n")),
+        )
+        upto = F.transform(F.filter(counted, lambda x: x["kind"] == 1), lambda x: x["n"])
+        return F.struct(pieces.alias("pieces"), upto.alias("upto"))
+
+    def joined(held: Column) -> Column:
+        def masked(piece: Column, i: Column) -> Column:
+            low, high = F.get(held["upto"], i), F.get(held["upto"], i + 1)
+            own = F.slice(cuts, low + 1, high - low + 1)  # and one that goes on, if there is one
+
+            def step(s: Column, c: Column) -> Column:
+                start, end = c["start"] - i * PIECE, c["end"] - i * PIECE
+                return F.struct(
+                    F.concat(
+                        s["out"],
+                        F.substring(piece, s["at"] + 1, F.least(F.greatest(start, F.lit(0)), F.lit(PIECE)) - s["at"]),
+                        F.when((start >= 0) & (start < PIECE), mask).otherwise(""),
+                    ).alias("out"),
+                    F.least(F.greatest(end, s["at"]), F.lit(PIECE)).alias("at"),
+                )
+
+            begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+            rest = F.filter(own, lambda c: c["start"] < (i + 1) * PIECE)
+            return F.aggregate(
+                rest, begin, step, lambda s: F.concat(s["out"], F.substring(piece, s["at"] + 1, F.lit(PIECE)))
+            )
+
+        return F.array_join(F.transform(held["pieces"], masked), "")
 
-    return F.aggregate(spans, empty, step)
+    return bound(bound(pieces, with_cuts), joined)
 
 
 def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
@@ -327,18 +411,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
     found = reported(scans, discoveries(scans)).select(
         "_keep0", _merged(F.col("spans")).alias("_cuts"), F.col("_keep0.text").alias("_text")
     )
-    begin = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    text = F.aggregate(
-        "_cuts",
-        begin,
-        lambda s, c: F.struct(
-            F.concat(
-                s["out"], F.substring(F.col("_text"), s["at"] + 1, c["start"] - s["at"]), F.lit(mask)
-            ).alias("out"),
-            c["end"].alias("at"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(F.col("_text"), s["at"] + 1, F.length("_text"))),
-    )
+    text = bound(F.col("_cuts"), lambda cuts: _cut_out(F.col("_text"), cuts, mask))
     masked = found.select(
         "_keep0", F.when(F.size("_cuts") > 0, text).otherwise(F.col("_text")).alias("_masked"),
         (F.size("_cuts") > 0).alias("_changed"),

@@ -1,6 +1,9 @@
 import random
 import re
 import string
+import time
+
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -74,3 +77,129 @@ def test_letter_only_and_short_tokens_are_tested_too(documents):
     assert sum(spans[i] == "random:4:48" for i in range(40)) >= 36
     assert sum(spans[i] == "random:4:22" for i in range(50, 90)) >= 30
     assert not any("random" in spans[i] for i, _ in plain)
+
+
+def texts_of(n, seed):
+    """A list of checksums, as found beside downloads."""
+    rng = random.Random(seed)
+    return "".join(f"{rng.getrandbits(256):064x}  file{i}.tar\n" for i in range(n))
+
+
+def test_many_matches_in_one_text_take_time_in_proportion(documents):
+    def seconds(n, redacted):
+        docs = documents([(1, texts_of(n, n))])
+        start = time.perf_counter()
+        (s.redact if redacted else s.find_secrets)(docs).collect()
+        return time.perf_counter() - start
+
+    for redacted in (False, True):
+        seconds(10, redacted)
+        few, many = seconds(8_000, redacted), seconds(32_000, redacted)
+        assert many < 4.5 * few, (redacted, few, many)
+
+
+def test_many_matches_and_long_texts_equal_brute_force(documents):
+    rng = random.Random(8)
+    rows = [(i, "".join(rng.choice(["é", " ", "deadbeef" * 3, "token=abcdefghijkl99", "x" * 700, "\U0001f600", "AKIA" + "Z" * 15]) for _ in range(n))) for i, n in enumerate((0, 1, 255, 256, 257, 700, 3000))]
+    docs = documents(rows)
+    for r in s.find_secrets(docs).select("doc_id", s.listed(F.col("base")).alias("base")).collect():
+        assert r["base"] == brute(dict(rows)[r["doc_id"]])
+
+
+def masked(text, spans, mask="[SECRET]"):
+    cuts = []
+    for start, end in sorted(spans):
+        if cuts and start <= cuts[-1][1]:
+            cuts[-1][1] = max(cuts[-1][1], end)
+        else:
+            cuts.append([start, end])
+    for start, end in reversed(cuts):
+        text = text[:start] + mask + text[end:]
+    return text
+
+
+@pytest.mark.parametrize("piece", [7, 4096])
+def test_cutting_out_equals_brute_force(spark, monkeypatch, piece):
+    monkeypatch.setattr(s, "PIECE", piece)
+    rng = random.Random(piece)
+    rows = []
+    for i, size in enumerate([0, 1, 6, 7, 8, 14, 50, 300, 300, 5000]):
+        text = "".join(rng.choice("abé\U0001f600\n ") for _ in range(size))
+        spans = []
+        for _ in range(rng.randrange(1 + size // 3)):
+            a = rng.randrange(size)
+            spans.append((a, min(size, a + rng.randrange(1, 30))))
+        rows.append((i, text, sorted(spans)))
+    docs = spark.createDataFrame(rows, "id int, text string, spans array<struct<start:int,end:int>>")
+    got = docs.select("id", s._cut_out(F.col("text"), s._merged(F.col("spans")), "[SECRET]").alias("text"))
+    assert {r["id"]: r["text"] for r in got.collect()} == {i: masked(t, x) for i, t, x in rows}
+
+
+def battery(token):
+    """Class and bin of a token by plain arithmetic on its characters."""
+    import math
+
+    for pattern, alphabet, repeat in s.ENCODINGS:
+        if re.search(pattern, token):
+            break
+    n, size = len(token), len(alphabet)
+
+    def phi(z):
+        e = 1.5976 * z + 0.07056 * z**3
+        return 1 / (1 + math.exp(-e)) if e > -700 else 0.0
+
+    x = [alphabet.index(c) + 1 for c in token]
+    counts = [x.count(v) for v in range(1, size + 1)]
+    chi, df = size / n * sum(c * c for c in counts) - n, size - 1
+    cubes = ((chi / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    high = [v > (size + 1) / 2 for v in x]
+    m = sum(high)
+    runs = 2 * m * (n - m) / n + 1
+    z_runs = (1 + sum(a != b for a, b in zip(high, high[1:])) - runs) / math.sqrt(max((runs - 1) * (runs - 2) / (n - 1), 1e-9))
+    mean = sum(x) / n
+    around = max(sum(v * v for v in x) - n * mean * mean, 1e-9)
+    z_serial = sum((a - mean) * (b - mean) for a, b in zip(x, x[1:])) / around * math.sqrt(n)
+    least = min(1 - phi(cubes), 2 * (1 - phi(abs(z_runs))), 2 * (1 - phi(abs(z_serial))))
+    excess = n * max(repeat * size - 1, 0.1)
+    p = phi((chi - df - excess) / math.sqrt(2 * (df + 2 * excess)))
+    bin_ = min(math.floor(-100 * math.log10(max(p, 1e-30))), 3000)
+    mixed = re.search("[0-9]", token) and re.search("[A-Za-z]", token)
+    kind = 200 if not mixed else 100 if n < 20 else 0
+    return math.floor(math.log2(n)) + kind, bin_ if 3 * least >= 0.003 else 0
+
+
+def random_spans(texts):
+    """Benjamini-Hochberg over all candidates of all texts, class by class."""
+    found = {}
+    for i, text in texts.items():
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}", text):
+            kind, bin_ = battery(m[0])
+            found.setdefault(kind, []).append((bin_, i, m.start(), m.end()))
+    out = {i: set() for i in texts}
+    for rows in found.values():
+        rows.sort(reverse=True)
+        cut = None
+        for k, row in enumerate(rows, 1):
+            last = k == len(rows) or rows[k][0] != row[0]
+            if last and row[0] and 10 ** (-row[0] / 100) <= 0.05 * k / len(rows):
+                cut = row[0]
+        for bin_, i, start, end in rows:
+            if cut is not None and bin_ >= cut:
+                inside = [x.split(":")[1:] for x in brute(texts[i]).split(",") if x]
+                if not any(int(a) <= start and end <= int(b) for a, b in inside):
+                    out[i].add(f"random:{start}:{end}")
+    return out
+
+
+def test_battery_and_control_equal_brute_force(documents, sample):
+    rng = random.Random(12)
+    texts = dict(list(sample.items())[:100])
+    alphabets = [string.ascii_letters + string.digits, string.digits, "0123456789ABCDEF", string.ascii_lowercase, string.ascii_letters + string.digits + "+/", string.ascii_uppercase + "234567"]
+    for i in range(150):
+        words = [rng.choice(["straightforwardness", "international-standard", "x", "thing"]), "".join(rng.choices(rng.choice(alphabets), k=rng.randrange(16, 70))), "token=" + "q8" * 9]
+        rng.shuffle(words)
+        texts[10_000 + i] = " ".join(words)
+    got = s.find_secrets(documents(list(texts.items()))).select("doc_id", s.listed(F.col("spans")).alias("spans")).collect()
+    expected = random_spans(texts)
+    shown = {r["doc_id"]: {x for x in r["spans"].split(",") if x.startswith("random")} for r in got}
+    assert shown == expected and sum(map(len, expected.values())) > 50
