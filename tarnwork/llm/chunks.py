@@ -8,6 +8,7 @@ encoded once, and the ids are gathered back in order.
 from __future__ import annotations
 
 import functools
+import json
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -169,10 +170,45 @@ class ChunkCoder:
         return self.ids[gather], np.diff(upto)
 
 
+# What vocabulary files of the tokenizers library may do to a text, so that
+# ``cut`` is right for them: nothing, or NFC, one blank for white space and lower case; then
+# the usual pattern of byte-level vocabularies, or this one.
+NORMALIZERS = frozenset("NFC Replace Lowercase".split())
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _parts(spec: dict | None, inner: str) -> list[dict]:
+    if spec is None:
+        return []
+    return spec[inner] if spec["type"] == "Sequence" else [spec]
+
+
+def folds(path: str) -> bool:
+    """Whether a vocabulary file lower-cases texts; one that ``cut`` may not fit is refused."""
+    with open(path, encoding="utf-8") as file:
+        spec = json.load(file)
+    normal = _parts(spec["normalizer"], "normalizers")
+    before = _parts(spec["pre_tokenizer"], "pretokenizers")
+    byte_level = [x for x in before if x["type"] == "ByteLevel"]
+    splits = [x for x in before if x["type"] == "Split"]
+    known = (
+        {x["type"] for x in normal} <= NORMALIZERS
+        and all(x["pattern"] == {"Regex": r"\s+"} and x["content"] == " " for x in normal if x["type"] == "Replace")
+        and len(byte_level) == 1
+        and not byte_level[0]["add_prefix_space"]
+        and len(byte_level) + len(splits) == len(before)
+        and all(x["pattern"] == {"Regex": SPLIT} and x["invert"] and x["behavior"] == "Removed" for x in splits)
+        and (len(splits) == 1) != byte_level[0]["use_regex"]
+    )
+    if not known:
+        raise ValueError(f"texts cannot be cut into chunks for {path}: unknown normalizer or pre-tokenizer")
+    return any(x["type"] == "Lowercase" for x in normal)
+
+
 @functools.cache  # once for each Python worker, which keeps its memo from task to task
-def library_coder(path: str, fold: bool = False) -> ChunkCoder:
+def library_coder(path: str) -> ChunkCoder:
     """A coder for a vocabulary file of the tokenizers library."""
-    return ChunkCoder(library_encoder(path), fold)
+    return ChunkCoder(library_encoder(path), folds(path))
 
 
 def library_encoder(path: str) -> Callable[[list[str]], list[list[int]]]:

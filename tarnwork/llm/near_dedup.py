@@ -198,7 +198,8 @@ def _able(lists: DataFrame) -> DataFrame:
     A pair is found in the list of its rarest common value if at all; in the lists of its
     other common values the bound is lower, and it need not be found again.
     """
-    least = lists.groupBy("value", "step").agg(F.min("n").alias("least"))
+    # Written, so that the join stands alone and Spark can deal a long list to several tasks.
+    least = written(lists.groupBy("value", "step").agg(F.min("n").alias("least")), "list-least")
     return lists.join(least, ["value", "step"]).where(_enough(F.col("s"), "n", "least")).drop("least")
 
 
@@ -248,7 +249,7 @@ def _open_lists(lists: DataFrame) -> DataFrame:
         .where("low != high")
         .select("value", "step")
     )
-    return lists.join(mixed, ["value", "step"])
+    return lists.join(written(mixed, "mixed-lists"), ["value", "step"])
 
 
 def _star_pairs(lists: DataFrame, number: int) -> DataFrame:
@@ -260,6 +261,7 @@ def _star_pairs(lists: DataFrame, number: int) -> DataFrame:
     hubs = lists.groupBy("value", "step").agg(
         F.min(F.struct(order.alias("o"), "rep", "component", "n")).alias("hub")
     )
+    hubs = written(hubs, "list-hubs")
     return (
         lists.join(hubs, ["value", "step"])
         .where((F.col("hub.component") != F.col("component")) & _sizes_fit("n", "hub.n"))
@@ -328,7 +330,7 @@ def near_duplicates(docs: DataFrame, star_rounds: int = 2) -> DataFrame:
         if last:
             members = sets.join(lists.select("rep").distinct(), "rep", "left_semi")
             values = members.select("rep", F.size("shingles").alias("n"), F.col("shingles").alias("values"))
-            able = _able(_with_component(shared_lists(values, whole=True), labels))
+            able = _able(written(_with_component(shared_lists(values, whole=True), labels), "whole-lists"))
             lists = written(_open_lists(written(able, "able-lists")), "open-lists")
         if lists.isEmpty():
             break
@@ -364,5 +366,8 @@ def keep_first(docs: DataFrame) -> DataFrame:
     Of rows with the same ``doc_id`` all stay or all go.
     """
     found = near_duplicates(docs)
-    gone = found.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = "_gone"
+    while gone in map(str.lower, docs.columns):
+        gone += "_"
+    ids = found.where("not kept").select(F.col("doc_id").alias(gone)).distinct()
+    return docs.join(ids, F.col("doc_id") == F.col(gone), "left_anti")

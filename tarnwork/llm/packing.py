@@ -28,8 +28,8 @@ from pyspark.sql.window import Window
 from tarnwork.llm.chunks import library_coder, slices
 from tarnwork.llm.common import written
 
-#: Ranks within a length are dealt in so many parts, so that no length is one task.
-SALTS = 256
+#: Pieces of one length whose ranks are counted together, on average.
+PART = 100_000
 
 
 def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> DataFrame:
@@ -38,7 +38,7 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, capacity: int) -> D
     schema = "doc_id long, piece int, start long, length long, ids binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = library_coder(vocabulary, fold=True)
+        coder = library_coder(vocabulary)
         for batch in batches:
             for begin, end in slices(batch.column("text")):
                 part = batch.slice(begin, end - begin)
@@ -181,45 +181,47 @@ def plan(counts: dict[int, int], capacity: int) -> list[Range]:
 
 
 def placed(pieces: DataFrame, capacity: int) -> DataFrame:
-    """``pieces`` with ``sequence_id`` and ``offset``; it must be a written table.
+    """``pieces`` (``length`` and any other columns) with ``sequence_id`` and ``offset``.
 
-    Needs ``doc_id``, ``piece`` and ``length``. Ranks within a length are counted in
-    ``SALTS`` parts, whose sizes are added up before.
+    Each piece is written with a number of its own. By it the pieces of a length are dealt to
+    as many parts as their count asks for, whatever their other columns hold; ranks are
+    counted within a part, and the parts' sizes are added up before.
     """
-    salted = pieces.withColumn(
-        "_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-    )
-    sizes = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    by_salt = Window.partitionBy("length").orderBy("_salt")
-    before = sizes.select(
-        "length",
-        "_salt",
-        (F.sum("_n").over(by_salt) - F.col("_n")).alias("_before"),
-    )
+    names = pieces.columns
+    row = "_row"
+    while row in map(str.lower, names):
+        row += "_"
+    pieces = written(pieces.withColumn(row, F.monotonically_increasing_id()), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     ranges = plan(counts, capacity)
-    at = {length: [r for r in ranges if r.length == length] for length in ()}
+    at: dict[int, list[Range]] = {}
     for r in ranges:
         at.setdefault(r.length, []).append(r)
     columns = {
         length: np.array([(r.first, r.sequence, r.each, r.offset) for r in rs], np.int64)
         for length, rs in at.items()
     }
-    ranked = salted.withColumn(
-        "_local",
-        F.row_number().over(
-            Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")
-        )
-        - 1,
-    ).join(before, ["length", "_salt"])
-    names = [c for c in pieces.columns]
-    ranked = ranked.select(*names, (F.col("_before") + F.col("_local")).cast("long").alias("_rank"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    parts = F.lit(1)
+    for length, n in counts.items():  # few lengths have more than a part holds
+        if n > PART:
+            parts = F.when(F.col("length") == length, -(-n // PART)).otherwise(parts)
+    part = F.pmod(F.xxhash64(row), parts).cast("int").alias("part")
+    own = pieces.select(F.col("length").alias("length"), part, F.col(row).alias("row"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("piece"))
+    by_part = Window.partitionBy("length").orderBy("part")
+    before = (
+        own.groupBy("length", "part")
+        .agg(F.count("*").alias("n"))
+        .select("length", "part", (F.sum("n").over(by_part) - F.col("n")).alias("before"))
+    )
+    within = Window.partitionBy("length", "part").orderBy("row")
+    ranked = own.withColumn("local", F.row_number().over(within) - 1).join(before, ["length", "part"])
+    ranked = ranked.select("piece.*", (F.col("before") + F.col("local")).cast("long").alias(row))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema if f.name != row)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lengths = batch.column("length").to_numpy()
-            ranks = batch.column("_rank").to_numpy()
+            ranks = batch.column(row).to_numpy()
             sequence, offset = np.zeros((2, len(ranks)), np.int64)
             order = np.argsort(lengths, kind="stable")
             for group in np.split(order, np.flatnonzero(np.diff(lengths[order])) + 1):
@@ -252,4 +254,4 @@ def packed_digest(docs: DataFrame, vocabulary: str, end_id: int, capacity: int)
     pieces = tokenized(docs, vocabulary, end_id, capacity).select(
         "doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")
     )
-    return placed(written(pieces, "pieces"), capacity)
+    return placed(pieces, capacity)

@@ -177,7 +177,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str, end_id: int) -> DataFra
             yield _cast(flush(), schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    # Rows of one ``doc_id``, or without any, are told apart by a number of their own.
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    ordered = numbered.repartitionByRange("doc_id", "_row").sortWithinPartitions("doc_id").drop("_row")
     return written(ordered.mapInArrow(run, schema), "token-manifest")
 
 

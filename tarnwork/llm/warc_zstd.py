@@ -224,13 +224,23 @@ def planned(pages: DataFrame, min_bytes: int) -> DataFrame:
     )
     same = (F.col("page_id") == F.col("_id")) & (F.sha1(F.col("html")) == F.col("_sha1"))
     joined = rows.join(copies, same, "left")
-    again = F.lit(False)
-    if not copies.where("_times > 1").isEmpty():  # rows that repeat a page in full
-        order = Window.partitionBy("page_id", "_sha1").orderBy("url")
-        joined = joined.withColumn("_nth", F.row_number().over(order))
-        again = F.col("_nth") > 1
-    refers = F.when((F.col("page_id") != F.col("kept")) | again, F.col("kept"))
-    return joined.select("page_id", "url", "html", refers.alias("refers_to"))
+    refers = F.when(F.col("page_id") != F.col("kept"), F.col("kept")).alias("refers_to")
+    columns = "page_id", "url", "html"
+    if copies.where("_times > 1").isEmpty():
+        return joined.select(*columns, refers)
+    # Rows that repeat a page in full are counted where they are read, html and all; one is
+    # written as the page itself, the others refer to it and need no payload of their own.
+    single = joined.where("_times is null or _times = 1").select(*columns, refers)
+    repeated = (
+        joined.where("_times > 1")
+        .groupBy("page_id", "url", "kept", "_sha1")
+        .agg(F.first("html").alias("html"), F.count("*").alias("n"))
+    )
+    order = Window.partitionBy("page_id", "_sha1").orderBy("url")
+    numbered = repeated.withColumn("first", F.row_number().over(order) == 1)
+    each = numbered.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    itself = F.col("first") & (F.col("nth") == 1) & (F.col("page_id") == F.col("kept"))
+    return single.union(each.select(*columns, F.when(~itself, F.col("kept")).alias("refers_to")))
 
 
 def write(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFrame:

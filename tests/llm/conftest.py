@@ -1,7 +1,14 @@
 import pytest
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
+#: Names that operators give to columns of their own.
+CLASHING = (
+    "_gone _row _keep0 _keep1 _id _h _text _words _nth _cuts _masked _changed _bad _times _sha1 _c _salt _rank "
+    "_new _run _line _grams _windows _places rep component value step part row piece length ids print"
+).split()
+
 
 @pytest.fixture
 def documents(spark):
@@ -10,7 +17,8 @@ def documents(spark):
     def make(rows):
         schema = "doc_id long, text string, lang string, source string, n_chars long, n_words int, kept string, h int"
         full = [(i, t, "en", None, None if t is None else len(t), 7, "x", 1) for i, t in rows]
-        return spark.createDataFrame(full, schema)
+        docs = spark.createDataFrame(full, schema)
+        return docs.select("*", *(F.lit(n).alias(name) for n, name in enumerate(CLASHING)))
 
     return make
 

@@ -1,3 +1,4 @@
+import json
 import random
 
 import numpy as np
@@ -47,3 +48,26 @@ def test_equals_whole_texts(monkeypatch, name, fold, memo):
         at = np.append(0, np.cumsum(counts))
         got = [ids[a:b].tolist() for a, b in zip(at, at[1:])]
         assert got == expected[part : part + 700]
+
+
+def test_vocabularies_that_chunks_do_not_fit_are_refused(tmp_path):
+    def changed(name, **parts):
+        with open(vocabulary(name), encoding="utf-8") as file:
+            spec = json.load(file)
+        spec.update(parts, model={})
+        path = tmp_path / "changed.json"
+        path.write_text(json.dumps(spec))
+        return str(path)
+
+    assert not chunks.folds(changed("byte_bpe_50k.json")) and chunks.folds(changed("word_bpe_49k.json"))
+    assert not chunks.folds(changed("word_bpe_49k.json", normalizer={"type": "NFC"}))
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    for parts in (
+        {"normalizer": {"type": "StripAccents"}},
+        {"pre_tokenizer": {"type": "Whitespace"}},
+        {"pre_tokenizer": None},
+        {"pre_tokenizer": level | {"add_prefix_space": True}},
+        {"pre_tokenizer": level | {"use_regex": False}},
+    ):
+        with pytest.raises(ValueError):
+            chunks.folds(changed("byte_bpe_50k.json", **parts))
