@@ -71,3 +71,31 @@ def test_sequences_hold_the_ids(documents, spark):
     total = sum(len(r["ids"]) for r in packing.sequences(packed).collect())
     assert total == sum(len(r["ids"]) for r in pieces.collect())
     assert all(len(r["ids"]) <= 64 for r in packing.sequences(packed).collect())
+
+
+def test_hot_lengths_and_nulls_are_placed_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "PART", 7)
+    rows = [(None, 0, 5)] * 40 + [(1, 0, 5)] * 30 + [(i, 0, 1 + i % 16) for i in range(50)]
+    pieces = spark.createDataFrame(rows, "doc_id long, _row int, length long")
+    got = packing.placed(pieces, 16)
+    assert got.columns == ["doc_id", "_row", "length", "sequence_id", "offset"]
+    fill = {}
+    for r in got.collect():
+        fill.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert sum(map(len, fill.values())) == len(rows)
+    for parts in fill.values():
+        ends = [offset + length for offset, length in sorted(parts)]
+        assert [offset for offset, _ in sorted(parts)] == [0, *ends[:-1]] and ends[-1] <= 16
+
+
+def test_given_documents_take_hardly_more_sequences_than_their_tokens_fill(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    lengths = {}
+    for r in packing.packed_digest(docs, WORDS, 1, 4096).collect():
+        lengths.setdefault(r["sequence_id"], []).append(r["length"])
+    rooms = []  # plain best fit, longest piece first
+    for length in sorted((n for own in lengths.values() for n in own), reverse=True):
+        i = bisect.bisect_left(rooms, length)
+        bisect.insort(rooms, (rooms.pop(i) if i < len(rooms) else 4096) - length)
+    least = -(-sum(n for own in lengths.values() for n in own) // 4096)
+    assert least <= len(lengths) <= min(len(rooms), least + 2)

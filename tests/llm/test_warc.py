@@ -71,3 +71,44 @@ def test_bad_archives_and_records_are_refused():
     ):
         with pytest.raises(ValueError):
             w.parsed(good.replace(old, new))
+
+
+def test_pages_repeated_in_full_are_one_response(spark):
+    rows = [(7, "u", "same " * 9)] * 30 + [(7, "v", "same " * 9), (8, "w", "same " * 9), (6, None, None), (6, None, None)]
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in w.round_trip(make(spark, rows)).collect())
+    assert got == sorted([(6, "response", None), (6, "revisit", 6), (8, "response", None)] + [(7, "revisit", 8)] * 31)
+    alone = [r for r in rows if r[0] == 7]
+    kinds = [(r["record_type"], r["refers_to"]) for r in w.round_trip(make(spark, alone)).collect()]
+    assert sorted(kinds, key=str) == sorted([("response", None)] + [("revisit", 7)] * 30, key=str)
+
+
+SMALL_RESULTS = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import functions as F
+from tarnwork.llm import warc_zstd
+from tarnwork.session import get_session
+spark = get_session(
+    "small", spark__master="local[4]", spark__driver__memory="2g", spark__driver__maxResultSize="48m",
+    spark__ui__enabled="false", spark__sql__shuffle__partitions="4",
+)
+spark.sparkContext.setLogLevel("ERROR")
+html = F.concat(*(F.sha2(F.concat_ws("-", F.col("id").cast("string"), F.lit(str(k))), 256) for k in range(130)))
+pages = spark.range(0, 60_000, 1, 110).select(
+    F.col("id").alias("page_id"), F.concat(F.lit("http://x/"), F.col("id").cast("string")).alias("url"), html.alias("html")
+)
+print("dictionary", len(warc_zstd.train(pages)))
+"""
+
+
+def test_the_sample_does_not_grow_with_the_number_of_tasks(tmp_path):
+    """110 tasks of 545 pages over 8 KB: 450 MB of starts, of which 16 MB may be sent."""
+    import subprocess
+    import sys
+
+    from tests.conftest import ROOT
+
+    script = tmp_path / "small.py"
+    script.write_text(SMALL_RESULTS.format(root=ROOT))
+    ran = subprocess.run([sys.executable, str(script)], capture_output=True, text=True, timeout=300)
+    assert ran.returncode == 0 and int(ran.stdout.split("dictionary")[1]) > 1000, ran.stderr[-2000:]
