@@ -1,7 +1,8 @@
 """License scan: phrases that name a license, and license texts by diagonal voting.
 
 All rolling four-word hashes of all texts are joined to the positions that the same four
-words have in templates. A match votes for its diagonal, the difference of the two
+words have in templates; the first and the last word of each must be equal too, so in a run of
+matches every word is compared. A match votes for its diagonal, the difference of the two
 positions; a copied passage puts all its votes on one. Diagonals a few words apart, as
 inserted or dropped words make them, are merged, and a merged run of votes is a span if it
 covers enough of its template, is dense enough in the document, and holds the words that
@@ -85,11 +86,59 @@ TEMPLATES = {
         "disclaimer.",
     ),
 }
+#: Passages that the full texts of licenses begin with, and notices of further ones.
+OPENINGS = {
+    "gpl-3.0": (
+        "The licenses for most software and other practical works are designed to take away your "
+        "freedom to share and change the works. By contrast, the GNU General Public License is "
+        "intended to guarantee your freedom to share and change all versions of a program--to make "
+        "sure it remains free software for all its users.",
+    ),
+    "gpl-2.0": (
+        "The licenses for most software are designed to take away your freedom to share and change "
+        "it. By contrast, the GNU General Public License is intended to guarantee your freedom to "
+        "share and change free software--to make sure the software is free for all its users.",
+    ),
+    "lgpl-2.1": (
+        "This license, the Lesser General Public License, applies to some specially designated "
+        "software packages--typically libraries--of the Free Software Foundation and other authors "
+        "who decide to use it.",
+    ),
+    "lgpl-3.0": (
+        "This version of the GNU Lesser General Public License incorporates the terms and conditions "
+        "of version 3 of the GNU General Public License, supplemented by the additional permissions "
+        "listed below.",
+    ),
+    "agpl-3.0": (
+        "The GNU Affero General Public License is a free, copyleft license for software and other "
+        "kinds of works, specifically designed to ensure cooperation with the community in the case "
+        "of network server software.",
+    ),
+    "mpl-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
+        "of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to "
+        "copy, modify, publish, use, compile, sell, or distribute this software, either in source code "
+        "form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "zlib": (
+        "Permission is granted to anyone to use this software for any purpose, including commercial "
+        "applications, and to alter it and redistribute it freely, subject to the following restrictions",
+    ),
+}
+KNOWN = {label: TEMPLATES.get(label, ()) + OPENINGS.get(label, ()) for label in TEMPLATES | OPENINGS}
 #: Words, ``K`` at most, that every span of a label's template must hold if the template does.
 TELLING = {
     "mit": ("above copyright notice",),
     "apache-2.0": ("apache license", "2 0"),
     "gpl-3.0": ("gnu general public license", "version 3"),
+    "gpl-2.0": ("public license is intended",),
+    "lgpl-2.1": ("the lesser general public",),
+    "lgpl-3.0": ("gnu lesser general public",),
+    "agpl-3.0": ("gnu affero general public",),
+    "mpl-2.0": ("v 2 0",),
     "cc-by-nc-4.0": ("by nc 4 0",),
     "cc-by-4.0": ("by 4 0", "attribution 4 0"),
     "cc-by-sa-4.0": ("by sa 4 0", "attribution sharealike 4 0"),
@@ -102,8 +151,15 @@ def license_words(text: Column) -> Column:
 
 
 def _grams(words: Column) -> Column:
-    """Hashes of all runs of ``K`` words."""
-    every = F.transform(words, lambda w, i: F.xxhash64(w, *(F.get(words, i + j) for j in range(1, K))))
+    """Hashes of all runs of ``K`` words, with the first and last word of each."""
+    every = F.transform(
+        words,
+        lambda w, i: F.struct(
+            F.xxhash64(w, *(F.get(words, i + j) for j in range(1, K))).alias("gram"),
+            w.alias("first"),
+            F.get(words, i + (K - 1)).alias("last"),
+        ),
+    )
     return F.slice(every, F.lit(1), F.greatest(F.size(words) - (K - 1), F.lit(0)))
 
 
@@ -179,22 +235,22 @@ def template_grams(spark, templates: dict[str, tuple[str, ...]]) -> DataFrame:
         "template", "label", _grams(F.col("_words")).alias("_grams")
     )
     return grams.select(
-        "template", "label", F.size("_grams").alias("total"), F.posexplode("_grams").alias("at", "gram")
-    )
+        "template", "label", F.size("_grams").alias("total"), F.posexplode("_grams").alias("at", "_gram")
+    ).select("template", "label", "total", "at", "_gram.*")
 
 
-def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] = TEMPLATES) -> DataFrame:
+def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] = KNOWN) -> DataFrame:
     """``doc_id``, ``h``, ``label``, ``start``, ``end`` (words) and ``score`` of each span."""
     words = docs.select(
         "doc_id", F.xxhash64("text").alias("h"), license_words(F.col("text")).alias("_words")
     )
     grams = words.select("doc_id", "h", _grams(F.col("_words")).alias("_grams")).select(
-        "doc_id", "h", F.posexplode_outer("_grams").alias("place", "gram")
-    )
+        "doc_id", "h", F.posexplode_outer("_grams").alias("place", "_gram")
+    ).select("doc_id", "h", "place", "_gram.*")
     # explode_outer: explode adds a filter on the array, which would move below the words
     # and cut them again for every gram.
     votes = (
-        grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "gram")
+        grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), ["gram", "first", "last"])
         .select("doc_id", "h", "template", "label", "total", "at", "place")
         .distinct()
     )

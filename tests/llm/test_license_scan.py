@@ -1,5 +1,9 @@
+import os
+import random
 import re
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tarnwork.llm import license_scan as s
@@ -85,3 +89,77 @@ def test_neighbouring_licenses_are_told_apart(documents):
         label = rows[r["doc_id"]][1]
         assert more == {label} - set(r["base_labels"].split(",")) - {""}, rows[r["doc_id"]]
         assert label or r["score"] == (0.5 if r["n_base"] else 0), rows[r["doc_id"]]
+
+
+def plain_words(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
+
+
+def brute_spans(text):
+    """(label, start, end, score) by comparing words: votes, diagonals, merging, verification."""
+    words, out = plain_words(text), set()
+    for label, texts in s.KNOWN.items():
+        for template in map(plain_words, texts):
+            places = {}
+            for at in range(len(template) - s.K + 1):
+                places.setdefault(tuple(template[at : at + s.K]), []).append(at)
+            votes = [(p - at, at, p) for p in range(len(words) - s.K + 1) for at in places.get(tuple(words[p : p + s.K]), [])]
+            runs, last = [], None
+            for diagonal, at, place in sorted(votes):
+                if last is None or diagonal - last > s.NEAR:
+                    runs.append([])
+                runs[-1].append((at, place))
+                last = diagonal
+            for run in runs:
+                ats = {at for at, _ in run}
+                start, end = min(p for _, p in run), max(p for _, p in run) + s.K
+                total = len(template) - s.K + 1
+                told = all(
+                    any(set(range(max(0, p + len(key) - s.K), min(p, total - 1) + 1)) & ats for p in held)
+                    for key in map(str.split, s.TELLING.get(label, ()))
+                    if (held := [p for p in range(len(template) - len(key) + 1) if template[p : p + len(key)] == key])
+                )
+                if told and len(ats) >= s.COVERED * total and len(ats) >= s.DENSE * (end - start - s.K + 1):
+                    out.add((label, start, end, round(len(ats) / total, 9)))
+    return out
+
+
+def changed_texts(n):
+    rng = random.Random(n)
+    texts = [t for own in s.KNOWN.values() for t in own]
+    for i in range(n):
+        out = [f"x{rng.randrange(50)}" for _ in range(rng.randrange(20))]
+        for _ in range(rng.randrange(1, 4)):
+            words = rng.choice(texts).split()
+            for _ in range(rng.randrange(6)):  # change, drop, add, cut or repeat words
+                k = rng.randrange(len(words))
+                words[k : k + rng.randrange(3)] = [f"y{rng.randrange(9)}"] * rng.randrange(3)
+                words = words or ["z"]
+            out += words[rng.randrange(1 + len(words) // 6) :] + [f"x{rng.randrange(50)}"] * rng.randrange(4)
+        yield i, " ".join(out)
+
+
+def test_spans_equal_brute_force(documents, sample, edges):
+    rows = [*changed_texts(250), *((1000 + i, t) for i, t in list(sample.items())[:60]), *((9000 + k, t) for k, (_, t) in enumerate(edges))]
+    found = {}
+    for r in s.license_spans(documents(rows)).collect():
+        found.setdefault(r["doc_id"], set()).add((r["label"], r["start"], r["end"], round(r["score"], 9)))
+    expected = {i: x for i, t in rows if (x := brute_spans(t))}
+    assert found == expected and len(expected) > 150
+
+
+def test_whole_license_texts(documents):
+    """The texts that this system ships, where it does, have their own label and no other's."""
+    folder = "/usr/share/common-licenses"
+    names = {"GPL-2": "gpl-2.0", "GPL-3": "gpl-3.0", "LGPL-2.1": "lgpl-2.1", "LGPL-3": "lgpl-3.0", "MPL-2.0": "mpl-2.0", "Apache-2.0": "apache-2.0", "BSD": "bsd"}
+    rows = []
+    for name in names:
+        if os.path.exists(f"{folder}/{name}"):
+            with open(f"{folder}/{name}", encoding="utf-8") as file:
+                rows.append((name, file.read()))
+    if not rows:
+        pytest.skip("no license texts here")
+    found = {}
+    for r in s.license_spans(documents([(i, t) for i, (_, t) in enumerate(rows)])).collect():
+        found.setdefault(rows[r["doc_id"]][0], set()).add(r["label"])
+    assert found == {name: {names[name]} for name, _ in rows}
