@@ -44,6 +44,8 @@ CENTROIDS = 64
 RECALL, MEASURED = 0.96, 400
 #: By how much a matrix product may miss a cosine.
 ROUNDING = 1e-9
+#: Pairs whose cosines are added up at once.
+RESCORED = 50_000
 #: Queries that one task probes for, on average.
 PROBED = 200
 #: Vectors, and queries, of a first centroid that are compared at once.
@@ -296,13 +298,15 @@ def nearest(vectors: DataFrame, query_every: int, k: int, share: float | None =
             scores[np.ix_(by, of_cell)] = q[by] @ e[of_cell].T
         most = min(k + 1, len(ids))
         bound = np.partition(scores, len(ids) - most, axis=1)[:, len(ids) - most]
-        found = []
-        for i in range(len(keys)):
-            at = np.flatnonzero((scores[i] >= bound[i] - ROUNDING) & (scores[i] > -np.inf))
-            exact = cosines(np.broadcast_to(whole[0][i], (len(at), whole[0].shape[1])), whole[1][at])
-            best = np.lexsort((ids[at], -exact))[:most]
-            found.append((np.full(len(best), keys[i]), ids[at[best]], exact[best]))
-        return pa.table([np.concatenate(x) for x in zip(*found, strict=True)], schema=kinds)
+        row, column = np.nonzero((scores >= bound[:, None] - ROUNDING) & (scores > -np.inf))
+        exact = np.zeros(len(row))
+        for begin in range(0, len(row), RESCORED):
+            part = slice(begin, begin + RESCORED)
+            exact[part] = cosines(whole[0][row[part]], whole[1][column[part]])
+        order = np.lexsort((ids[column], -exact, row))
+        row, column, exact = row[order], column[order], exact[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < most
+        return pa.table([keys[row[best]], ids[column[best]], exact[best]], schema=kinds)
 
     at = ["first", "p_e", "p_q"]
     best = (
