@@ -5,8 +5,9 @@ words have in templates; the first and the last word of each must be equal too,
 matches every word is compared. A match votes for its diagonal, the difference of the two
 positions; a copied passage puts all its votes on one. Diagonals a few words apart, as
 inserted or dropped words make them, are merged, and a merged run of votes is a span if it
-covers enough of its template, is dense enough in the document, and holds the words that
-tell the template from other licenses (``TELLING``).
+covers enough of its template, is dense enough in the document, and is verified against the
+words of every rival: each template of another license, and the template itself with another
+number. Of the matches that a rival has not, a span must hold half (``rivals``).
 
 Everything is DataFrame expressions and joins. Only matches leave the tasks that read
 texts, at most one per word and template position. The template side has ``GRAMS_BOUND`` rows
@@ -24,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tarnwork.llm.common import ascii_lower
+
 K = 4
 GRAMS_BOUND = 20_000
 #: Diagonals so many words apart are one.
@@ -86,7 +89,7 @@ TEMPLATES = {
         "disclaimer.",
     ),
 }
-#: Passages that the full texts of licenses begin with, and notices of further ones.
+#: Passages that the full texts of licenses begin with, and notices of further licenses.
 OPENINGS = {
     "gpl-3.0": (
         "The licenses for most software and other practical works are designed to take away your "
@@ -98,21 +101,43 @@ OPENINGS = {
         "The licenses for most software are designed to take away your freedom to share and change "
         "it. By contrast, the GNU General Public License is intended to guarantee your freedom to "
         "share and change free software--to make sure the software is free for all its users.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU General Public License as published by the Free Software Foundation; either "
+        "version 2 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU General Public License, version 2.",
     ),
     "lgpl-2.1": (
         "This license, the Lesser General Public License, applies to some specially designated "
         "software packages--typically libraries--of the Free Software Foundation and other authors "
         "who decide to use it.",
+        "The licenses for most software are designed to take away your freedom to share and change "
+        "it. By contrast, the GNU General Public Licenses are intended to guarantee your freedom to "
+        "share and change free software--to make sure the software is free for all its users.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation; either "
+        "version 2.1 of the License, or (at your option) any later version.",
     ),
     "lgpl-3.0": (
         "This version of the GNU Lesser General Public License incorporates the terms and conditions "
         "of version 3 of the GNU General Public License, supplemented by the additional permissions "
         "listed below.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Lesser General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
     ),
     "agpl-3.0": (
         "The GNU Affero General Public License is a free, copyleft license for software and other "
         "kinds of works, specifically designed to ensure cooperation with the community in the case "
         "of network server software.",
+        "The licenses for most software and other practical works are designed to take away your "
+        "freedom to share and change the works. By contrast, our General Public Licenses are "
+        "intended to guarantee your freedom to share and change all versions of a program--to make "
+        "sure it remains free software for all its users.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of "
+        "the GNU Affero General Public License as published by the Free Software Foundation, either "
+        "version 3 of the License, or (at your option) any later version.",
+        "This work is licensed under the GNU Affero General Public License, version 3.",
     ),
     "mpl-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy "
@@ -127,27 +152,30 @@ OPENINGS = {
         "Permission is granted to anyone to use this software for any purpose, including commercial "
         "applications, and to alter it and redistribute it freely, subject to the following restrictions",
     ),
+    "mit-0": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this "
+        "software and associated documentation files (the Software), to deal in the Software "
+        "without restriction, including without limitation the rights to use, copy, modify, "
+        "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to "
+        "permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED",
+    ),
+    "ecl-2.0": (
+        "Licensed under the Educational Community License, Version 2.0 (the License); you may not "
+        "use this file except in compliance with the License. You may obtain a copy of the License "
+        "at http://opensource.org/licenses/ECL-2.0 Unless required by applicable law or agreed to "
+        "in writing, software distributed under the License is distributed on an AS IS BASIS, "
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ),
 }
 KNOWN = {label: TEMPLATES.get(label, ()) + OPENINGS.get(label, ()) for label in TEMPLATES | OPENINGS}
-#: Words, ``K`` at most, that every span of a label's template must hold if the template does.
-TELLING = {
-    "mit": ("above copyright notice",),
-    "apache-2.0": ("apache license", "2 0"),
-    "gpl-3.0": ("gnu general public license", "version 3"),
-    "gpl-2.0": ("public license is intended",),
-    "lgpl-2.1": ("the lesser general public",),
-    "lgpl-3.0": ("gnu lesser general public",),
-    "agpl-3.0": ("gnu affero general public",),
-    "mpl-2.0": ("v 2 0",),
-    "cc-by-nc-4.0": ("by nc 4 0",),
-    "cc-by-4.0": ("by 4 0", "attribution 4 0"),
-    "cc-by-sa-4.0": ("by sa 4 0", "attribution sharealike 4 0"),
-}
 
 
 def license_words(text: Column) -> Column:
     """Lower-cased maximal runs of ASCII letters, digits and characters beyond ASCII."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), SEPARATORS), "")
+    text = F.coalesce(text, F.lit(""))
+    # On text of ASCII alone the two are the same, and lower is faster.
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.array_remove(F.split(low, SEPARATORS), "")
 
 
 def _grams(words: Column) -> Column:
@@ -206,23 +234,34 @@ def _numbered(templates: dict[str, tuple[str, ...]]) -> list[tuple[int, str, str
     return [(i, label, text) for i, (label, text) in enumerate(pairs)]
 
 
-def _told(template: Column, ats: Column, templates: dict[str, tuple[str, ...]]) -> Column:
-    """Whether matches at ``ats`` hold, each in one match, all telling words of a template."""
-    told = F.lit(True)
-    for i, label, text in _numbered(templates):
-        words = [w for w in re.split(SEPARATORS, text.lower()) if w]
-        for key in map(str.split, TELLING.get(label, ())):
-            n = len(key)
-            grams = {
-                at
-                for p in range(len(words) - n + 1)
-                if words[p : p + n] == key
-                for at in range(max(0, p + n - K), min(p, len(words) - K) + 1)
-            }
-            if grams:
-                held = F.arrays_overlap(ats, F.array(*map(F.lit, sorted(grams))))
-                told = told & ((template != i) | held)
-    return told
+def rivals(templates: dict[str, tuple[str, ...]]) -> list[tuple[int, list[list[int]]]]:
+    """For every template, by number: per rival, the positions of grams that the rival has not.
+
+    Rivals are the templates of other labels, and the template with one of its numbers
+    changed. Where a rival has no more than ``2 * COVERED - 1`` of the grams, any span that
+    covers enough holds half of the others, and the rival is left out.
+    """
+
+    def grams(words: list[str]) -> list[tuple[str, ...]]:
+        return [tuple(words[at : at + K]) for at in range(len(words) - K + 1)]
+
+    numbered = [
+        (i, label, [w for w in re.split(SEPARATORS, re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w])
+        for i, label, text in _numbered(templates)
+    ]
+    out = []
+    for i, label, words in numbered:
+        own = grams(words)
+        others = [other for _, name, other in numbered if name != label]
+        others += [["" if w == d else w for w in words] for d in sorted(set(filter(str.isdigit, words)))]
+        telling = []
+        for other in others:
+            has = set(grams(other))
+            lacks = [at for at, gram in enumerate(own) if gram not in has]
+            if len(own) - len(lacks) > (2 * COVERED - 1) * len(own):
+                telling.append(lacks)
+        out.append((i, telling))
+    return out
 
 
 def template_grams(spark, templates: dict[str, tuple[str, ...]]) -> DataFrame:
@@ -274,8 +313,10 @@ def license_spans(docs: DataFrame, templates: dict[str, tuple[str, ...]] = KNOWN
     matched = F.size("ats")
     score = matched / F.col("total")
     dense = matched >= DENSE * (F.col("end") - F.col("start") - (K - 1))
-    told = _told(F.col("template"), F.col("ats"), templates)
-    return spans.where((score >= COVERED) & dense & told).select(
+    table = docs.sparkSession.createDataFrame(rivals(templates), "template int, rivals array<array<int>>")
+    told = F.forall("rivals", lambda r: 2 * F.size(F.array_intersect(r, "ats")) >= F.size(r))
+    enough = spans.where((score >= COVERED) & dense)
+    return enough.join(F.broadcast(table), "template").where(told).select(
         "doc_id", "h", "label", "start", "end", score.alias("score")
     )
 

@@ -72,14 +72,19 @@ def test_neighbouring_licenses_are_told_apart(documents):
         cc.format("Attribution-NonCommercial-ShareAlike 4.0"), cc.format("Attribution-NoDerivatives 4.0"),
         cc.format("Attribution 3.0"), cc.format("Attribution-ShareAlike 3.0"),
         "Licensed under CC BY 4.1.", "Licensed under CC BY-NC-ND 4.0.", "Licensed under CC BY-SA 4.1.",
-        program.replace("version 3", "version 2"), work.replace("version 3", "version 2"),
-        program.replace("General", "Lesser General"), work.replace("General", "Affero General"),
-        apache.replace("2.0", "1.1"), apache_long.replace("Apache License", "Educational Community License").replace("LICENSE", "ECL"),
-        mit.split(", subject to")[0],
+        program.replace("version 3", "version 1"), work.replace("version 3", "version 1"),
+        apache.replace("2.0", "1.1"), apache_long.replace("2.0", "1.1"),
+        mit.split(", subject to")[0], f"{mit.split(', subject to')[0]} under terms of our own.",
     ]
     changed = [
         (f"Note: {program.replace('any later', 'a later')} End.", "gpl-3.0"), (cc.format("Attribution 4.0").replace("This work", "All work"), "cc-by-4.0"),
         (apache_long.replace("License, Version 2.0", "License 2.0"), "apache-2.0"), (work.replace("version 3", "version 3 or later"), "gpl-3.0"),
+        (program.replace("version 3", "version 2"), "gpl-2.0"), (work.replace("version 3", "version 2"), "gpl-2.0"),
+        (program.replace("General", "Lesser General"), "lgpl-3.0"), (program.replace("General", "Affero General"), "agpl-3.0"),
+        (work.replace("General", "Lesser General"), "lgpl-3.0"), (work.replace("General", "Affero General"), "agpl-3.0"),
+        (apache_long.replace("Apache License", "Educational Community License").replace("LICENSE", "ECL"), "ecl-2.0"),
+        (f"{mit.split(', subject to')[0]}. THE SOFTWARE IS PROVIDED AS IS", "mit-0"),
+        *((text, label) for label, texts in s.OPENINGS.items() for text in texts),
     ]
     rows = [*own, *changed, *((text, "") for text in others)]
     got = s.licenses(documents([(i, text) for i, (text, _) in enumerate(rows)])).collect()
@@ -95,6 +100,13 @@ def plain_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").lower())
 
 
+def rivals(label, template):
+    """The runs of words of each other license, and of the template with one number changed."""
+    others = [plain_words(x) for name, texts in s.KNOWN.items() if name != label for x in texts]
+    others += [[w if w != d else "other" for w in template] for d in set(template) if d.isdigit()]
+    return [{tuple(o[k : k + s.K]) for k in range(len(o))} for o in others]
+
+
 def brute_spans(text):
     """(label, start, end, score) by comparing words: votes, diagonals, merging, verification."""
     words, out = plain_words(text), set()
@@ -115,9 +127,9 @@ def brute_spans(text):
                 start, end = min(p for _, p in run), max(p for _, p in run) + s.K
                 total = len(template) - s.K + 1
                 told = all(
-                    any(set(range(max(0, p + len(key) - s.K), min(p, total - 1) + 1)) & ats for p in held)
-                    for key in map(str.split, s.TELLING.get(label, ()))
-                    if (held := [p for p in range(len(template) - len(key) + 1) if template[p : p + len(key)] == key])
+                    2 * len(ats & lacks) >= len(lacks)
+                    for other in rivals(label, template)
+                    if (lacks := {k for k in range(total) if tuple(template[k : k + s.K]) not in other})
                 )
                 if told and len(ats) >= s.COVERED * total and len(ats) >= s.DENSE * (end - start - s.K + 1):
                     out.add((label, start, end, round(len(ats) / total, 9)))
@@ -163,3 +175,9 @@ def test_whole_license_texts(documents):
     for r in s.license_spans(documents([(i, t) for i, (_, t) in enumerate(rows)])).collect():
         found.setdefault(rows[r["doc_id"]][0], set()).add(r["label"])
     assert found == {name: {names[name]} for name, _ in rows}
+
+
+def test_only_a_to_z_are_lowered(documents):
+    docs = documents([(1, "MIT KB ÉTÉ"), (2, "MIT Kb"), (3, None)])
+    got = {r["doc_id"]: r["w"] for r in docs.select("doc_id", s.license_words(F.col("text")).alias("w")).collect()}
+    assert got == {1: ["mit", "Kb", "ÉtÉ"], 2: ["mit", "kb"], 3: []}
